@@ -41,30 +41,56 @@ UNSAFE = re.compile(r" (?:\s|$)|\s ")
 SPLIT = re.compile(r"(?<=\S)(?= \S)")
 
 
+_ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f]")
+
+
+def unsafe(text: str) -> bool:
+    """May a space of the text stand next to white space or at its end?"""
+    if text.isascii():
+        return "  " in text or "\n " in text or " \n" in text or text.endswith(" ") or bool(_ODD.search(text))
+    return bool(UNSAFE.search(text))
+
+
 class _Pieces(dict):
-    """Ids as bytes by piece of text; bounded, emptied when full."""
+    """Ids as bytes by piece of text. Of two generations the older is dropped when the newer is full."""
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        got = self[key] = self.make(key)
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        self[key] = got
         return got
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The printable character that byte-level BPE writes for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class CachedTokenizer:
     """Ids of a ``tokenizers`` file; pieces of text between safe boundaries are encoded once a worker.
 
-    A file whose pre-tokenizer isn't plain byte-level splitting is applied to
-    whole texts instead, as its splits may reach over a space.
+    The library's model encodes each new word. A file whose pre-tokenizer isn't
+    plain byte-level splitting is applied to whole texts instead, as its splits
+    may reach over a space.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    #: How byte-level pre-tokenizers split.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+    def __init__(self, path: str, limit: int = 200_000):
         import json
 
+        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -75,10 +101,27 @@ class CachedTokenizer:
         pre = spec.get("pre_tokenizer") or {}
         self.plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
         if self.plain:
-            split, model = self.tok.pre_tokenizer.pre_tokenize_str, self.tok.model
-            word = _Pieces(lambda w: np.array([t.id for t in model.tokenize(w)], self.dtype).tobytes(), limit)
-            self.whole = _Pieces(lambda c: b"".join([word[w] for w, _ in split(c)]), limit)
-            self.spaced = _Pieces(lambda c: b"".join([word[w] for w, _ in split(" " + c)]), limit)
+            split, model, table = regex.compile(self.PATTERN).findall, self.tok.model, byte_alphabet()
+            as_bytes = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
+            space = table[32]
+
+            def letters(w: str) -> bytes:  # a word of letters after a space is one piece
+                w = space + (w if w.isascii() else w.encode().decode("latin-1").translate(table))
+                return b"".join([as_bytes[t.id] for t in model.tokenize(w)])
+
+            def other(w: str) -> bytes:
+                return b"".join([as_bytes[t.id] for t in model.tokenize(w.encode().decode("latin-1").translate(table))])
+
+            def spaced(c: str) -> bytes:
+                if c.isalpha():
+                    return letters(c)
+                if c[:-1].isalpha() and c[-1] in ",.;:!?":
+                    return self.spaced[c[:-1]] + piece(c[-1])
+                return b"".join(map(piece, split(" " + c)))
+
+            piece = _Pieces(other, limit).__getitem__
+            self.whole = _Pieces(lambda c: b"".join(map(piece, split(c))), limit)
+            self.spaced = _Pieces(spaced, 2 * limit)
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids, without special tokens."""
@@ -86,7 +129,7 @@ class CachedTokenizer:
             return b""
         if not self.plain:
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        if UNSAFE.search(text):
+        if unsafe(text):
             return b"".join(map(self.whole.__getitem__, SPLIT.split(text)))
         parts = text.split(" ")
         first = parts[0]
