@@ -21,7 +21,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import fresh, map_rows
 
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Texts of more characters are cut at safe boundaries into pieces of about this size.
@@ -122,16 +122,17 @@ def digests(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, keep: list[str], text_col: str = "text") -> DataFrame:
     """The kept columns with ids, n_tokens, and ``exact``: whether the ids decode to the text's bytes."""
     kinds = dict(df.dtypes)
+    (whole,) = fresh(df, "_text")
 
     def make():
         enc = RankEncoder(ranks_path, pattern)
 
         def call(cols):
-            ids = [enc.encode(t) for t in cols["_text"]]
-            exact = [enc.decode(x) == (t or "").encode() for x, t in zip(ids, cols["_text"], strict=True)]
+            ids = [enc.encode(t) for t in cols[whole]]
+            exact = [enc.decode(x) == (t or "").encode() for x, t in zip(ids, cols[whole], strict=True)]
             return {k: cols[k] for k in keep} | {"n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids], "exact": exact}
 
         return call
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", n_tokens long, ids binary, exact boolean"
-    return map_rows(df.select(*keep, df[text_col].alias("_text")), make, schema)
+    return map_rows(df.select(*keep, df[text_col].alias(whole)), make, schema)

@@ -1,7 +1,7 @@
 """Main text of web pages by nearest-URL page differencing (operator 9).
 
-Pages of a host are paired with the page whose URL path is next in order (the
-last with the one before). Lines of the two, in order, are aligned by their
+Pages of a host, in the order of their URL paths, are paired with the one of
+their two neighbours that has more of the path in common (on a tie the next). Lines of the two, in order, are aligned by their
 longest common subsequence, and shared lines are deleted: they are the site's
 template.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 import html
 import re
 from difflib import SequenceMatcher
+from os.path import commonprefix
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -216,7 +217,8 @@ def extract(df: DataFrame) -> DataFrame:
 
         def done(a, x, b):
             if x[1] == 0:
-                near = b if b and b[0] == x[0] and host(b) == host(x) and b[2:4] != x[2:4] else a if a and a[0] == x[0] and host(a) == host(x) else None
+                near = [y for y in (b, a) if y and y[0] == x[0] and host(y) == host(x) and y[2:4] != x[2:4]]
+                near = max(near, key=lambda y: len(commonprefix([y[4], x[4]])), default=None)
                 text = main_text(x[6], near and near[6])
                 yield x[2], x[3], text, len(text)
 

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -78,20 +78,21 @@ def signals(df: DataFrame, text_col: str = "text") -> DataFrame:
     words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     size = F.length(text)
-    out = df.withColumns({"_w": let(words, of_words), "_l": let(lines, of_lines), "_t": text})
-    t = F.col("_t")
+    wc, lc, tc = fresh(df, "_w", "_l", "_t")
+    out = df.withColumns({wc: let(words, of_words), lc: let(lines, of_lines), tc: text})
+    t = F.col(tc)
     counted = {
-        "n_words": F.col("_w.n_words"),
+        "n_words": F.col(f"{wc}.n_words"),
         "word_chars": _without(t, SPACE).cast("long"),
         "n_symbols": (size - _without(t, SYMBOLS)).cast("long"),
-        "n_dup_lines": F.col("_l.n_dup_lines").cast("long"),
-        "n_repeat_words": F.col("_w.n_repeat_words"),
-        "n_lines": F.col("_l.n_lines"),
+        "n_dup_lines": F.col(f"{lc}.n_dup_lines").cast("long"),
+        "n_repeat_words": F.col(f"{wc}.n_repeat_words"),
+        "n_lines": F.col(f"{lc}.n_lines"),
         "n_upper": (size - F.length(F.regexp_replace(t, r"\p{Lu}+", ""))).cast("long"),
         "n_letters": (size - F.length(F.regexp_replace(t, r"\p{L}+", ""))).cast("long"),
         "n_shouts": (size - _without(t, "!?")).cast("long"),
     }
-    return out.withColumns(counted).drop("_w", "_l", "_t")
+    return out.withColumns(counted).drop(wc, lc, tc)
 
 
 @dataclass(frozen=True)
@@ -170,15 +171,15 @@ def posterior(votes: tuple[int, ...], share: float, acc: list[tuple[float, float
 
 
 def quality(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
-    """Adds the counts, ``base_failed``, ``p_good`` and ``kept`` to each row.
+    """The table without its text, with the counts, ``base_failed``, ``p_good`` and ``kept``; columns of these names are replaced.
 
     base_failed: fewer than 50 words, or more than half of the words lie in
     repeated windows. kept: not base_failed and p_good of at least ``threshold``.
     """
-    votes = [r.vote().cast("byte").alias(f"_v{i}") for i, r in enumerate(rules)]
+    names = fresh(df, *[f"_v{i}" for i in range(len(rules))])
+    votes = [r.vote().cast("byte").alias(n) for n, r in zip(names, rules, strict=True)]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = cut(signals(df, text_col).drop(text_col).withColumn("base_failed", failed).select("*", *votes))
-    names = [f"_v{i}" for i in range(len(rules))]
     counts = scored.filter(~F.col("base_failed")).groupBy(*names).count().collect()  # at most 3**rules rows
     share, acc = estimate({tuple(r[n] for n in names): r["count"] for r in counts}, len(rules))
     base, weights = log_odds(share, acc)

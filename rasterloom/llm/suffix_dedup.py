@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, chunks, new_path, small_batches
+from .common import arrow_schema, chunks, fresh, new_path, small_batches
 
 WORDS, LEAD = 50, 8
 SPANS = "d long, t long, lo int, hi int"
@@ -218,12 +218,13 @@ def remove_repeats(df: DataFrame, words: int = WORDS, lead: int = LEAD, id_col:
     no word is left are dropped; all others stay.
     """
     spark = df.sparkSession
-    spans = repeated_spans(df, words, lead, id_col, text_col).withColumnsRenamed({"d": "_d", "t": "_t", "spans": "_s"})
-    key = (F.coalesce(df[id_col].cast("long"), F.lit(-(1 << 63))) == F.col("_d")) & (F.xxhash64(F.coalesce(df[text_col], F.lit(""))) == F.col("_t"))
+    d, t, s = fresh(df, "_d", "_t", "_s")
+    spans = repeated_spans(df, words, lead, id_col, text_col).withColumnsRenamed({"d": d, "t": t, "spans": s})
+    key = (F.coalesce(df[id_col].cast("long"), F.lit(-(1 << 63))) == F.col(d)) & (F.xxhash64(F.coalesce(df[text_col], F.lit(""))) == F.col(t))
     names = df.columns
     at, size_at = names.index(text_col), names.index(size_col) if size_col in names else -1
     small_batches(spark)
-    joined = df.join(spans, key, "left").select(*[df[c] for c in names], "_s")
+    joined = df.join(spans, key, "left").select(*[df[c] for c in names], s)
 
     def run(batches):
         import pyarrow as pa
