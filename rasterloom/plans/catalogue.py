@@ -584,7 +584,7 @@ def explained_variance(spark, sf):
 _LINES = ", ".join(f"('{x}')" for x in RPC_TEXT.strip().splitlines())
 
 
-@query(rf"WITH v(value) AS (VALUES {_LINES}), m AS (SELECT regexp_extract(value, '^\s*([A-Z_]+?)(?:_(\d+))?\s*:\s*([-+0-9.eE]+)', ['k','i','c']) AS m FROM v) SELECT m.k AS key, CAST(nullif(m.i, '') AS INT) AS idx, CAST(m.c AS DOUBLE) AS coeff FROM m")
+@query(rf"WITH v(value) AS (VALUES {_LINES}), m AS (SELECT regexp_extract(value, '^\s*([A-Z_]+?)(?:_(\d+))?\s*:\s*([-+0-9.eE]+)', ['k','i','c']) AS m FROM v) SELECT m.k AS key, coalesce(CAST(nullif(m.i, '') AS INT), 0) AS idx, CAST(m.c AS DOUBLE) AS coeff FROM m")
 def rpc_text_parse(spark, sf):
     return rpc_entries(spark.createDataFrame([(x,) for x in [*RPC_TEXT.strip().splitlines(), "no key here"]], "value string"))
 

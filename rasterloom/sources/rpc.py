@@ -36,9 +36,9 @@ def parse_rpc(text: str) -> Rfm:
 
 
 def rpc_entries(lines: DataFrame, line_col: str = "value") -> DataFrame:
-    """(key, idx, coeff) of a table of RPC lines: scalars have idx null, vectors 1 to 20; other lines are dropped."""
+    """(key, idx, coeff) of a table of RPC lines: scalars have idx 0, vectors 1 to 20; other lines are dropped."""
     m = F.regexp_extract(line_col, r"^\s*([A-Z_]+?)(?:_(\d+))?\s*:\s*([-+0-9.eE]+)", 0)
     key = F.regexp_extract(line_col, r"^\s*([A-Z_]+?)(?:_(\d+))?\s*:\s*([-+0-9.eE]+)", 1)
     idx = F.regexp_extract(line_col, r"^\s*([A-Z_]+?)(?:_(\d+))?\s*:\s*([-+0-9.eE]+)", 2)
     val = F.regexp_extract(line_col, r"^\s*([A-Z_]+?)(?:_(\d+))?\s*:\s*([-+0-9.eE]+)", 3)
-    return lines.filter(m != "").select(key.alias("key"), F.nullif(idx, F.lit("")).cast("int").alias("idx"), val.cast("double").alias("coeff"))
+    return lines.filter(m != "").select(key.alias("key"), F.coalesce(F.nullif(idx, F.lit("")).cast("int"), F.lit(0)).alias("idx"), val.cast("double").alias("coeff"))
