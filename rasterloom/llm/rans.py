@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 from pyspark import TaskContext
@@ -138,6 +139,12 @@ class CachedTokenizer:
         return head + b"".join(map(self.spaced.__getitem__, parts[1:]))
 
 
+@lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> CachedTokenizer:
+    """One a worker process, so that its pieces outlive a task."""
+    return CachedTokenizer(path)
+
+
 class Table:
     """Frequencies of symbols, scaled to sum to 2**bits."""
 
@@ -260,7 +267,7 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_
     raw = f"{path}/raw"
 
     def tokens(batches):
-        tok, part, start = CachedTokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
+        tok, part, start = worker_tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         held, docs, sizes, n = [], [], [], 0
 
