@@ -19,7 +19,6 @@ predicted language.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -32,6 +31,7 @@ from .common import arrow_schema, map_rows, small_batches, to_batch
 LETTERS = re.compile(r"[^\W\d_]+")
 UND = "und"
 BUCKETS = 1 << 15
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 #: First code point of each range and its script.
 RANGES = [
     (0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "other"), (0x750, "arabic"), (0x780, "other"),
@@ -50,11 +50,23 @@ def script_of(word: str) -> int:
     return int(_NUMBERS[np.searchsorted(_STARTS, ord(word[0]), side="right") - 1])
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of the n-grams of 1 to 3 characters of a word between spaces."""
-    b = f" {word} "
-    found = list(word) + [b[i : i + 2] for i in range(len(b) - 1)] + [b[i : i + 3] for i in range(len(b) - 2)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in found]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of 1 to 3 characters of words between spaces.
+
+    (buckets 3 x places, which of them count, first place of each word): a
+    place is a character or one of the two spaces of a word.
+    """
+    code = np.frombuffer("".join([f" {w} " for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    start = np.cumsum(size) - size
+    left = np.repeat(start + size, size) - np.arange(len(code))  # places up to the end of the word
+    one = code + np.uint64(1)
+    two = one * _MIX + np.append(code[1:], [0]).astype(np.uint64) + np.uint64(2)
+    three = two * _MIX + np.append(code[2:], [0, 0]).astype(np.uint64) + np.uint64(3)
+    h = np.stack([one, two, three]) * _MIX
+    h = (h ^ (h >> np.uint64(29))) * _MIX
+    counts = np.stack([(left > 1) & (left < np.repeat(size, size)), left > 1, left > 2])
+    return (h >> np.uint64(49)).astype(np.int64), counts, start
 
 
 @dataclass
@@ -79,8 +91,13 @@ def learn(df: DataFrame, text_col: str, lang_col: str, key: Column, max_docs: in
         def settle():
             for lang, c in words.items():
                 t = totals.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS), np.int64))
-                for w, k in c.items():
-                    np.add.at(t, grams(w), k)
+                if not c:
+                    continue
+                words_, n_ = list(c), np.fromiter(c.values(), np.int64, len(c))
+                b, counts, start = grams(words_)
+                times = np.repeat(n_, np.diff(np.append(start, b.shape[1])))
+                t[:BUCKETS] += np.bincount(b[counts], weights=np.broadcast_to(times, b.shape)[counts], minlength=BUCKETS).astype(np.int64)
+                for w, k in zip(words_, n_, strict=True):
                     t[BUCKETS + script_of(w)] += k * len(w)
                 c.clear()
 
@@ -122,21 +139,18 @@ def best_path(s: np.ndarray, penalty: float) -> np.ndarray:
         run = np.concatenate(([0.0], (rest.max(axis=1) - s[:, top]).cumsum()))
         if (run - np.minimum.accumulate(run)).max() <= penalty:
             return np.full(len(s), top)
-    n, m = s.shape
-    back = np.empty((n, m), np.int32)
-    v = s[0].astype(np.float64)
-    stay = np.arange(m)
-    for t in range(1, n):
-        k = int(np.argmax(v))
-        move = v[k] - penalty
-        change = move > v
-        back[t] = np.where(change, k, stay)
-        v = np.where(change, move, v) + s[t]
-    path = np.empty(n, np.int64)
-    path[-1] = int(np.argmax(v))
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+    # lists beat arrays here, as there are few languages
+    rows = s.tolist()
+    v, back = rows[0], []
+    for row in rows[1:]:
+        high = max(v)
+        move, k = high - penalty, v.index(high)
+        back.append([k if move > x else j for j, x in enumerate(v)])
+        v = [(move if move > x else x) + y for x, y in zip(v, row, strict=True)]
+    path = [v.index(max(v))]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    return np.array(path[::-1])
 
 
 class Labeller:
@@ -146,43 +160,68 @@ class Labeller:
         self.model, self.penalty, self.limit = model, penalty, limit
         self.rows: dict[str, int] = {}
         self.scores = np.zeros((1024, len(model.langs)), np.float32)
-
-    def _row(self, word: str) -> int:
-        got = self.rows.get(word)
-        if got is None:
-            got = len(self.rows)
-            if got >= len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            # overlapping n-grams of three lengths count a third each; words on which no candidate is better say nothing
-            s = self.model.log_p[grams(word)].sum(axis=0) / 3
-            fits = self.model.fits[script_of(word)]
-            self.scores[got] = np.where(fits, s, s[fits].min() - 20) - s[fits].max()
-            self.rows[word] = got
-        return got
+        self.sizes = np.zeros(1024, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        """Scores of words that aren't known yet, all in one go."""
+        at = len(self.rows)
+        while at + len(words) > len(self.scores):
+            self.scores, self.sizes = np.concatenate([self.scores, np.zeros_like(self.scores)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        b, counts, start = grams(words)
+        total = sum(np.where(m[:, None], self.model.log_p[x], np.float32(0)) for x, m in zip(b, counts, strict=True))
+        # overlapping n-grams of three lengths count a third each; the best candidate has 0, languages of other scripts are far off
+        s = np.add.reduceat(total, start, axis=0) / 3
+        first = np.fromiter((ord(w[0]) for w in words), np.int64, len(words))
+        fits = self.model.fits[_NUMBERS[np.searchsorted(_STARTS, first, side="right") - 1]]
+        low, high = np.where(fits, s, np.inf).min(axis=1), np.where(fits, s, -np.inf).max(axis=1)
+        self.scores[at : at + len(words)] = np.where(fits, s, low[:, None] - 20) - high[:, None]
+        self.sizes[at : at + len(words)] = np.fromiter(map(len, words), np.int64, len(words))
+        self.rows.update(zip(words, range(at, at + len(words)), strict=True))
+
+    def known(self, texts: list[list[str]]) -> None:
+        """Makes sure that all words have scores; of a full table the old ones go."""
+        new = {w for ws in texts for w in ws if w not in self.rows}
+        if len(self.rows) + len(new) > self.limit:
+            self.rows.clear()
+            new = {w for ws in texts for w in ws}
+        new = list(new)
+        for i in range(0, len(new), 50_000):
+            self._learn(new[i : i + 50_000])
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """(start, end, language) in code points; spans begin and end with a word."""
         found = list(LETTERS.finditer(text or ""))
         if not found or not self.model.langs:
             return []
-        path = self._path([m[0].lower() for m in found])[0]
+        words = [m[0].lower() for m in found]
+        self.known([words])
+        path = self._path(words)[0]
         cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
         return [(found[a].start(), found[b - 1].end(), self.model.langs[path[a]]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _path(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.rows) > self.limit:
-            self.rows.clear()
-        known = self.rows
-        at = [known[w] if w in known else self._row(w) for w in words]  # may make the table of scores larger
-        s = self.scores[at]
-        return best_path(s, self.penalty), s
-
-    def label(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text else []
-        if not words or not self.model.langs:
+        at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        return best_path(self.scores[at], self.penalty), self.sizes[at]
+
+    def labels(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and share of letters of each text."""
+        out: list[tuple[str, float]] = []
+        group: list[list[str]] = []
+        size = 0
+        for i, t in enumerate(texts):
+            group.append(LETTERS.findall(t.lower()) if t and self.model.langs else [])
+            size += len(group[-1])
+            if size > 200_000 or i + 1 == len(texts):
+                self.known(group)
+                out += map(self._label, group)
+                group, size = [], 0
+        return out
+
+    def _label(self, words: list[str]) -> tuple[str, float]:
+        if not words:
             return UND, 0.0
-        path, _ = self._path(words)
-        letters = np.bincount(path, weights=np.fromiter(map(len, words), float, len(words)), minlength=len(self.model.langs))
+        path, sizes = self._path(words)
+        letters = np.bincount(path, weights=sizes, minlength=len(self.model.langs))
         k = int(np.argmax(letters))
         return self.model.langs[k], float(letters[k] / letters.sum())
 
@@ -196,7 +235,7 @@ def identify(df: DataFrame, model: Model, penalty: float = 10.0, id_col: str = "
         by = Labeller(shared.value, penalty)
 
         def call(cols):
-            got = [by.label(t) for t in cols["text"]]
+            got = by.labels(cols["text"])
             return {"id": cols["id"], "lang_pred": [a for a, _ in got], "score": [b for _, b in got]}
 
         return call
@@ -221,7 +260,7 @@ def accepted(df: DataFrame, model: Model, min_score: float = 0.3, text_col: str
 
         by = Labeller(shared.value, penalty)
         for batch in batches:
-            got = [by.label(t) for t in batch.column(at).to_pylist()]
+            got = by.labels(batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UND and score >= min_score for lang, score in got]))
 
     return df.mapInArrow(run, df.schema)
