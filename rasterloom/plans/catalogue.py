@@ -552,9 +552,9 @@ def _filled(spark, sf):
     return series.fill_mean(c.join(kept, ["row", "col"]), ["row", "col"], list(range(1, 31)))
 
 
-@query(f"WITH {CUBE}, d AS (SELECT * FROM cube WHERE t <= 30) SELECT a.t AS t1, b.t AS t2, round(sum(a.value*b.value),4) AS g FROM d a JOIN d b USING (row, col) GROUP BY 1, 2")
+@query(f"WITH {CUBE}, d AS (SELECT * FROM cube WHERE t <= 30) SELECT a.t AS t1, b.t AS t2, round(sum(a.value*b.value),6) AS g FROM d a JOIN d b USING (row, col) GROUP BY 1, 2")
 def pcaim_gram(spark, sf):
-    return rounded(series.gram_table(cube(spark, sf).filter("t <= 30"), ["row", "col"]), 4, g=F.col("g"))
+    return rounded(series.gram_table(cube(spark, sf).filter("t <= 30"), ["row", "col"]), 6, g=F.col("g"))
 
 
 @query(f"WITH {CUBE}, n AS (SELECT t, count(value) AS n FROM cube GROUP BY 1) SELECT t, 150 - n AS n_missing, round(pow(n / 150e0, 2) / max(pow(n / 150e0, 2)) OVER (), 6) AS weight FROM n")
