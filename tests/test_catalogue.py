@@ -37,7 +37,7 @@ def test_equals_sql(spark, sf, con, name):
     a, b = sorted(plain(got.select(*names).collect()), key=key), sorted(plain(cur.fetchall()), key=key)
     assert len(a) == len(b)
     for x, y in zip(a, b):
-        assert all(p == q or isinstance(p, float) and math.isclose(p, q, rel_tol=1e-9, abs_tol=2e-6) for p, q in zip(x, y)), (x, y)
+        assert all(p == q or isinstance(p, float) and math.isclose(p, q, rel_tol=1e-8, abs_tol=2e-6) for p, q in zip(x, y)), (x, y)
 
 
 def test_published_model_values(spark):
