@@ -151,15 +151,20 @@ def near_duplicates(df: DataFrame, distance: int = 2, words: int = 3, seed: int
     return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def first_rows(df: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` that ``firsts`` names by f.d (id) and f.t (the text's hash); of repeated rows one."""
+    key = df.select(F.struct("*").alias("row"), df[id_col].alias("d"), F.xxhash64(F.coalesce(df[text_col], F.lit(""))).alias("t"))
+    kept = firsts.select(F.col("f.d").alias("kd"), F.col("f.t").alias("kt"))
+    met = key.join(kept, F.col("d").eqNullSafe(F.col("kd")) & (F.col("t") == F.col("kt")))
+    one = Window.partitionBy("d", "t").orderBy("t")  # repeated rows: any, as they are alike in id and text
+    return met.withColumn("i", F.row_number().over(one)).filter("i = 1").select("row.*")
+
+
 def keep_firsts(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, all columns: the one with the smallest id, null ids last, then by the text's hash."""
-    key = df.select(F.struct("*").alias("row"), df[id_col].alias("d"), F.xxhash64(F.coalesce(df[text_col], F.lit(""))).alias("t"))
     texts = df.select(F.struct(df[id_col].alias("d"), F.xxhash64(F.coalesce(df[text_col], F.lit(""))).alias("t")).alias("id"), df[text_col].alias("text"))
     docs = cut(fingerprints(texts, words, seed, "id", "text").select("id.d", "id.t", "fp"))
     named = _named(docs, distance, block, "d")
     order = F.struct(F.col("d").isNull().alias("n"), F.col("d"), F.col("t"))
     firsts = docs.groupBy("fp").agg(F.min(order).alias("f")).join(named, "fp").groupBy("root").agg(F.min("f").alias("f"))
-    kept = firsts.select(F.col("f.d").alias("kd"), F.col("f.t").alias("kt"))
-    met = key.join(kept, F.col("d").eqNullSafe(F.col("kd")) & (F.col("t") == F.col("kt")))
-    one = Window.partitionBy("d", "t").orderBy("t")  # repeated rows: any, as they are alike in id and text
-    return met.withColumn("i", F.row_number().over(one)).filter("i = 1").select("row.*")
+    return first_rows(df, firsts, id_col, text_col)
