@@ -109,21 +109,24 @@ def correlate(tiles: DataFrame, method: str = "frequency", window: int = 32, ste
     return tiles.select("pair_id", "row0", "col0", "height", "base", "target").mapInArrow(run, OUT)
 
 
-def halo_tiles(px: DataFrame, size: int, margin: int) -> DataFrame:
-    """Tiles (pair_id, row0, col0, height, base, target) of size + 2 margin from pixels (pair_id, row, col, base, target); ragged or holed tiles are left out.
+def halo_tiles(px: DataFrame, size: int, margin: int, overlap: int = 0) -> DataFrame:
+    """Tiles (pair_id, row0, col0, height, base, target) from pixels (pair_id, row, col, base, target): size + 2 margin + overlap on a side, less at the far edges; holed tiles are left out.
 
-    A pixel goes to each tile that holds it, at most four while the margin is
-    at most half a tile; then one grouping by tile, whose size is bounded.
+    Windows of a step that divides the size go on over the edges of tiles when
+    overlap is window - step. A pixel goes to each tile that holds it, at most
+    four while 2 margin + overlap is at most a tile; then one grouping by tile,
+    whose size is bounded.
     """
-    span = size + 2 * margin
+    span = size + 2 * margin + overlap
 
     def of(c: str):
         return F.sequence(F.greatest(F.ceil((F.col(c) - span + 1) / size), F.lit(0)), F.floor(F.col(c) / size))
 
     dealt = px.withColumn("ti", F.explode(of("row"))).withColumn("tj", F.explode(of("col")))
     cell = F.struct("row", "col", "base", "target")
-    held = dealt.groupBy("pair_id", "ti", "tj").agg(F.sort_array(F.collect_list(cell)).alias("px")).filter(F.size("px") == span * span)
-    return held.select("pair_id", (F.col("ti") * size).cast("int").alias("row0"), (F.col("tj") * size).cast("int").alias("col0"), F.lit(span).alias("height"), F.col("px.base").alias("base"), F.col("px.target").alias("target"))
+    high, wide = F.max("row") - F.col("ti") * size + 1, F.max("col") - F.col("tj") * size + 1
+    held = dealt.groupBy("pair_id", "ti", "tj").agg(F.sort_array(F.collect_list(cell)).alias("px"), high.cast("int").alias("height"), wide.cast("int").alias("width")).filter(F.size("px") == F.col("height") * F.col("width"))
+    return held.select("pair_id", (F.col("ti") * size).cast("int").alias("row0"), (F.col("tj") * size).cast("int").alias("col0"), "height", F.col("px.base").alias("base"), F.col("px.target").alias("target"))
 
 
 def ncc_table(px: DataFrame, windows: int, reach: int) -> DataFrame:

@@ -535,7 +535,7 @@ def _images(spark, sf):
 
 @query()
 def ncc_subpixel(spark, sf):
-    tiles = correlate.halo_tiles(_images(spark, sf), 16, 4)
+    tiles = correlate.halo_tiles(_images(spark, sf), 16, 4, 16 - 8)
     return rounded(correlate.correlate(tiles, "spatial", 16, 8, 4), dx=F.col("dx"), dy=F.col("dy"), snr=F.col("snr"))
 
 
