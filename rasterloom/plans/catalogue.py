@@ -497,8 +497,11 @@ def mask_min_count(spark, sf):
 
 @query(f"WITH {CUBE}, g AS (SELECT u AS row, d AS col FROM unnest(range(0, 200)) AS a(u), unnest(range(0, 31)) AS b(d)) SELECT CAST(g.row AS INT) AS row, CAST(g.col AS INT) AS col, round(value,6) AS value FROM g LEFT JOIN cube ON cube.row = g.row AND cube.t = g.col")
 def border_fill(spark, sf):
+    # at least the SQL's 200 rows and 31 columns, more where the table has more
     px = cube(spark, sf).select("row", F.col("t").alias("col"), "value")
-    return rounded(raster.fill_grid(px, 200, 31), value=F.col("value"))
+    most = px.agg(F.max("row").alias("row"), F.max("col").alias("col")).first()
+    rows, cols = max(200, (most.row or 0) + 1), max(31, (most.col or 0) + 1)
+    return rounded(raster.fill_grid(px, rows, cols), value=F.col("value"))
 
 
 @query(f"WITH {PX}, two AS (SELECT *, 1 AS tile FROM px WHERE row < 200 AND value > 0 UNION ALL SELECT row, col, value * 2, 2 FROM px WHERE row >= 150) SELECT row, col, round(arg_min(value, tile),6) AS value FROM two GROUP BY 1, 2")
@@ -559,7 +562,9 @@ def pcaim_gram(spark, sf):
 
 @query(f"WITH {CUBE}, n AS (SELECT t, count(value) AS n FROM cube GROUP BY 1) SELECT t, 150 - n AS n_missing, round(pow(n / 150e0, 2) / max(pow(n / 150e0, 2)) OVER (), 6) AS weight FROM n")
 def slice_weights(spark, sf):
-    return rounded(series.slice_weights(cube(spark, sf), 150, 2.0), weight=F.col("weight"))
+    # at least the SQL's 150 pixels, more where the table has more
+    c = cube(spark, sf)
+    return rounded(series.slice_weights(c, max(150, c.select("row", "col").distinct().count()), 2.0), weight=F.col("weight"))
 
 
 @query()
