@@ -10,7 +10,8 @@ site draws afresh for every page are shared with no neighbour, and a sentence
 that two articles have in common is no template. So blocks whose markup says
 what they are (nav, aside, form, ``class="ad"`` and the like) are left out
 first, and shared lines are deleted only outside an article or main element;
-a page with such an element keeps that element's lines alone.
+a page with such an element keeps that element's lines alone. Inside it, only
+elements, roles and whole class or id names of known boilerplate are left out.
 
 Defined results: a null or empty page has no text. Pages that share all their
 lines (copies) keep them: a page is never emptied by its neighbour's copy.
@@ -38,7 +39,7 @@ NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-OUT = {"nav", "header", "footer", "aside", "form", "button", "select", "svg", "head", "menu", "dialog", "object", "canvas", "video", "audio", "figure", "datalist", "fieldset"}
+OUT = {"nav", "header", "footer", "aside", "form", "button", "select", "svg", "head", "menu", "dialog", "object", "canvas", "video", "audio", "datalist", "fieldset"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html",
     "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
@@ -47,17 +48,27 @@ WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "notice", "notices", "alert", "popup", "modal", "overlay", "menu", "nav", "navbar", "navigation",
     "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "widget", "related", "recommended", "share", "sharing", "social", "newsletter", "subscribe", "signup", "login", "comment", "comments", "disqus", "replies", "pagination", "pager", "toolbar", "search",
 }
+#: Whole classes or ids that name boilerplate inside an article, where single words like search or notice may be its subject.
+INSIDE = {
+    "ad", "ads", "advert", "adverts", "advertisement", "sponsored", "promo", "cookie-notice", "cookie-banner", "cookie-consent", "comments", "comment-list", "comments-section", "disqus", "disqus_thread", "breadcrumb", "breadcrumbs", "navbar", "sidebar", "pagination", "newsletter",
+    "newsletter-signup", "share-buttons", "share-bar", "share-links", "social-share", "social-sharing", "social-links", "related-posts", "related-articles", "related-links", "related-stories", "ad-slot", "ad-banner", "ad-container", "site-header", "site-footer",
+}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 SPACE = re.compile(r"\s+")
 
 
-def _kind(tag: str, name: str) -> int:
-    """-1 for what is left out, 1 for a main element, else 0."""
+def _kind(tag: str, name: str, inside: bool = False) -> int:
+    """-1 for what is left out, 1 for a main element, else 0; inside a main element only whole names of boilerplate count."""
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(tag)} if "=" in tag else {}
     if name in OUT or found.get("role") in ROLES:
         return -1
     if name in ("html", "body"):
         return 0
+    if inside:
+        whole = {*found.get("class", "").split(), *found.get("id", "").split()}
+        if name in ("article", "main") or found.get("role") in ("main", "article"):
+            return -1 if whole & (INSIDE | {"comment", "related"}) else 1
+        return -1 if whole & INSIDE else 0
     if name in ("article", "main") or found.get("role") in ("main", "article"):
         words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}"))
         return -1 if words & {"comment", "comments", "related", "ad", "advert"} else 1
@@ -121,7 +132,7 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
             continue
         if name in ("p", "li") and stack and stack[-1][0] == name:
             pop()
-        k = _kind(t, name)
+        k = _kind(t, name, main > 0)
         if k or name in BLOCKS:
             stack.append((name, k))
             hidden += k < 0
