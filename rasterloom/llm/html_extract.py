@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import html
 import re
-from difflib import SequenceMatcher
+from math import isqrt
 from os.path import commonprefix
 
 import numpy as np
@@ -155,19 +155,35 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     xs, ys = [i for i, v in enumerate(x) if v in common], [j for j, v in enumerate(y) if v in common]
     if not xs:
         return found
-    if len(xs) * len(ys) > 4_000_000:  # too large a table: matching blocks, longest first
-        match = SequenceMatcher(None, [x[i] for i in xs], [y[j] for j in ys], autojunk=False)
-        return found | {lo + xs[i] for p, _, size in match.get_matching_blocks() for i in range(p, p + size)}
-    size = np.zeros((len(xs) + 1, len(ys) + 1), np.int32)
-    for i in range(len(xs) - 1, -1, -1):
-        for j in range(len(ys) - 1, -1, -1):
-            size[i, j] = size[i + 1, j + 1] + 1 if x[xs[i]] == y[ys[j]] else max(size[i + 1, j], size[i, j + 1])
+    code = {v: k for k, v in enumerate(common)}
+    u, v = [code[x[i]] for i in xs], np.array([code[y[j]] for j in ys])
+    n, every = len(u), isqrt(len(u)) + 1
+
+    def row(i: int, below: np.ndarray) -> np.ndarray:
+        """Of the common subsequences of u[i:] and each v[j:], the longest's size."""
+        best = below.copy()
+        best[:-1] = np.maximum(best[:-1], np.where(v == u[i], below[1:] + 1, 0))
+        return np.maximum.accumulate(best[::-1])[::-1]
+
+    # rows are kept every sqrt(n) and the others of a band made again on the way back, so memory is that of 2 sqrt(n) rows
+    kept = {n: np.zeros(len(v) + 1, np.int32)}
+    below = kept[n]
+    for i in range(n - 1, -1, -1):
+        below = row(i, below)
+        if i % every == 0:
+            kept[i] = below
     i = j = 0
-    while i < len(xs) and j < len(ys):
-        if x[xs[i]] == y[ys[j]]:
+    band: dict[int, np.ndarray] = {}
+    while i < n and j < len(v):
+        if i not in band or i + 1 not in band:
+            first, end = i // every * every, min((i // every + 1) * every, n)
+            band = {end: kept[end]}
+            for k in range(end - 1, first - 1, -1):
+                band[k] = row(k, band[k + 1])
+        if u[i] == v[j]:
             found.add(lo + xs[i])
             i, j = i + 1, j + 1
-        elif size[i + 1, j] >= size[i, j + 1]:
+        elif band[i + 1][j] >= band[i][j + 1]:
             i += 1
         else:
             j += 1

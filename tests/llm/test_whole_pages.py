@@ -9,3 +9,12 @@ def test_articles_keep_figures_and_sections_with_common_names():
     )
     text = html_extract.main_text(html_extract.blocks(page), None)
     assert text.split("\n") == ["Related work", "On search", "Mind this", "Quote", "Cell", "code", "Caption"]
+
+
+def test_long_pages_lose_a_longest_common_subsequence():
+    """Matching blocks, longest first, would take the run of 40 and miss the lines about it."""
+    run = [f"r{i}" for i in range(40)]
+    lines = [f"s{i}" for i in range(2100)]
+    a = ["z", *run, *lines]
+    b = [*(x for s in lines for x in (s, "z")), *run]
+    assert len(html_extract.shared(a, b)) == 2100
