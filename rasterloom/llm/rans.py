@@ -30,6 +30,8 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,105 +40,126 @@ from .common import arrow_schema, new_path, partitions, remove_path, small_batch
 
 MAGIC, LOW, U64 = b"TRB1", np.uint64(1 << 31), np.uint64
 HEAD = struct.Struct("<4sIIIIIII")
-UNSAFE = re.compile(r" (?:\s|$)|\s ")
+#: Lanes of a block, steps between its checkpoints, and its tokens.
+LANES, EVERY, TOKENS = 4096, 64, 1 << 20
+#: White space of the pre-tokenizer, for Arrow's regular expressions.
+_WS = "[\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+#: A space that is no safe boundary: white space or an end of the text beside it.
+UNSAFE = f" {_WS}|{_WS} | $|^ "
 SPLIT = re.compile(r"(?<=\S)(?= \S)")
 
 
-_ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f]")
-
-
-def unsafe(text: str) -> bool:
-    """May a space of the text stand next to white space or at its end?"""
-    if text.isascii():
-        return "  " in text or "\n " in text or " \n" in text or text.endswith(" ") or bool(_ODD.search(text))
-    return bool(UNSAFE.search(text))
-
-
-class _Pieces(dict):
-    """Ids as bytes by piece of text. Of two generations the older is dropped when the newer is full."""
-
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
-
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        got = self.old.get(key)
-        if got is None:
-            got = self.make(key)
-        self[key] = got
-        return got
-
-
-def byte_alphabet() -> dict[int, str]:
-    """The printable character that byte-level BPE writes for each byte."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 class CachedTokenizer:
-    """Ids of a ``tokenizers`` file; pieces of text between safe boundaries are encoded once a worker.
-
-    The library's model encodes each new word. A file whose pre-tokenizer isn't
-    plain byte-level splitting is applied to whole texts instead, as its splits
-    may reach over a space.
+    """Ids of a ``tokenizers`` file, a column of texts at a time.
+
+    Texts are cut before single spaces between other characters. The library's
+    byte-level pre-tokenizer never splits elsewhere because of what lies beyond
+    such a place, as all its alternatives that hold a space begin with it. The
+    different pieces of a column go through the library's model once, and those
+    of a worker are kept, in two generations, of which the older is dropped when
+    the newer is full. Pieces of ASCII
+    characters and Latin letters are split into letters, digits, marks and
+    single line feeds; all others are split by the library's pre-tokenizer.
+    A file whose pre-tokenizer isn't plain byte-level splitting is applied to
+    whole texts instead.
     """
 
-    #: How byte-level pre-tokenizers split.
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    #: Letters of ASCII and of the Latin blocks up to U+024F.
+    LETTERS = r"A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+    #: Pieces with these are left to the library's pre-tokenizer: apostrophes, white space but single line feeds, other characters.
+    ODD = re.compile(rf"['\t\r\x0b\x0c\x1c-\x20]|\n\n|[^\x00-\x7f{LETTERS}]")
+    RUNS = re.compile(rf"[{LETTERS}]+|[0-9]+|\n|[^{LETTERS}0-9\n]+")
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 500_000):
         import json
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.dtype = np.dtype("<u4")
         with open(path) as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
         if self.plain:
-            split, model, table = regex.compile(self.PATTERN).findall, self.tok.model, byte_alphabet()
-            as_bytes = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
-            space = table[32]
-
-            def letters(w: str) -> bytes:  # a word of letters after a space is one piece
-                w = space + (w if w.isascii() else w.encode().decode("latin-1").translate(table))
-                return b"".join([as_bytes[t.id] for t in model.tokenize(w)])
-
-            def other(w: str) -> bytes:
-                return b"".join([as_bytes[t.id] for t in model.tokenize(w.encode().decode("latin-1").translate(table))])
-
-            def spaced(c: str) -> bytes:
-                if c.isalpha():
-                    return letters(c)
-                if c[:-1].isalpha() and c[-1] in ",.;:!?":
-                    return self.spaced[c[:-1]] + piece(c[-1])
-                return b"".join(map(piece, split(" " + c)))
+            split, self.limit = self.tok.pre_tokenizer.pre_tokenize_str, limit
+            self.model, self.as_bytes = self.tok.model.tokenize, [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
+            self.split, self.letters = split, {c: split(chr(c))[0][0] for c in range(0x250)}
+            self.now: dict[str, bytes] = {}
+            self.old: dict[str, bytes] = {}
+            self.runs: dict[str, bytes] = {}
+
+    def _ids(self, part: str) -> bytes:
+        """Of a pre-token as the library writes it."""
+        return b"".join([self.as_bytes[t.id] for t in self.model(part)])
+
+    def _run(self, run: str) -> bytes:
+        """Of a pre-token of ASCII characters and Latin letters; those of few characters are kept."""
+        got = self.runs.get(run) or self.now.get(run) or self.old.get(run)
+        if got is None:
+            got = self._ids(run.translate(self.letters))
+            if len(run) < 8 and len(self.runs) < self.limit:
+                self.runs[run] = got
+        return got
 
-            piece = _Pieces(other, limit).__getitem__
-            self.whole = _Pieces(lambda c: b"".join(map(piece, split(c))), limit)
-            self.spaced = _Pieces(spaced, 2 * limit)
+    def _make(self, piece: str) -> bytes:
+        if piece[0] == " " and len(piece) > 1 and piece[1] != "\n" and not self.ODD.search(piece, 1):
+            head, *rest = self.RUNS.findall(piece, 1)
+            if not rest:
+                return self._ids(piece.translate(self.letters))
+            return b"".join([self._run(" " + head), *map(self._run, rest)])
+        return b"".join([self._ids(part) for part, _ in self.split(piece)])
+
+    def pieces(self, found: list[str]) -> list[bytes]:
+        """Ids of pieces."""
+        out = list(map(self.now.get, found))
+        for i, got in enumerate(out):
+            if got is None:
+                piece = found[i]
+                got = self.old.get(piece)
+                if got is None:
+                    got = self._make(piece) if piece else b""
+                out[i] = self.now[piece] = got
+        if len(self.now) > self.limit:
+            self.old, self.now = self.now, {}
+        return out
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids, without special tokens."""
-        if not text:
-            return b""
+        return self.column(pa.array([text], pa.string()))[0].tobytes()
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts, one after the other, and their number by text."""
+        texts = texts.fill_null("")
         if not self.plain:
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        if unsafe(text):
-            return b"".join(map(self.whole.__getitem__, SPLIT.split(text)))
-        parts = text.split(" ")
-        first = parts[0]
-        parts[0] = ""
-        head = self.whole[first] if first else b""
-        return head + b"".join(map(self.spaced.__getitem__, parts[1:]))
+            got = [e.ids for e in self.tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for ids in got for i in ids], "<u4"), np.array([len(ids) for ids in got], np.int64)
+        parts = pc.split_pattern(texts, " ")
+        flat, offsets = parts.flatten(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        codes = flat.dictionary_encode()
+        known = self.pieces(pc.binary_join_element_wise("", codes.dictionary, " ").to_pylist())
+        # texts with other spaces, and first pieces, which have no space before them
+        odd = np.flatnonzero(pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False))
+        heads = flat.take(pa.array(offsets[:-1]))
+        head_codes = heads.dictionary_encode()
+        base = len(known)
+        known += self.pieces(head_codes.dictionary.to_pylist())
+        at = codes.indices.to_numpy().astype(np.int64)
+        at[offsets[:-1]] = head_codes.indices.to_numpy() + base
+        if len(odd):
+            keep = np.ones(len(at), bool)
+            for i in odd.tolist():  # one piece stands for such a text
+                keep[offsets[i] + 1 : offsets[i + 1]] = False
+                at[offsets[i]] = len(known)
+                known.append(b"".join(self.pieces(SPLIT.split(texts[i].as_py()))))
+            before = np.concatenate(([0], np.cumsum(keep)))
+            at, offsets = at[keep], before[offsets]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        values = np.frombuffer(b"".join(known), "<u4")
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes)))), pa.array(values))
+        ids = lists.take(pa.array(at)).flatten().to_numpy()
+        ends = np.concatenate(([0], np.cumsum(sizes[at])))[offsets]
+        return ids, np.diff(ends)
 
 
 @lru_cache(maxsize=1)
@@ -161,6 +184,8 @@ class Table:
     @classmethod
     def scaled(cls, symbols: np.ndarray, counts: np.ndarray, bits: int) -> Table:
         """Every symbol that occurs keeps a frequency of 1 at least; the largest take up the rounding."""
+        if bits > 20:
+            raise ValueError("bits are 20 at most")
         order = np.argsort(symbols)
         symbols, counts = np.asarray(symbols)[order], np.asarray(counts, np.float64)[order]
         if len(symbols) > 1 << bits:
@@ -178,31 +203,35 @@ class Table:
         return cls(symbols, freqs, bits)
 
     def slot_table(self) -> np.ndarray:
+        """By slot: the symbol's place in the low 21 bits, its frequency in 21, and the slot's place among its symbol's slots in 21."""
         if self.slots is None:
-            self.slots = np.repeat(np.arange(len(self.freqs), dtype=np.int32), self.freqs)
+            places = np.repeat(np.arange(len(self.freqs), dtype=U64), self.freqs)
+            self.slots = places | (self.f[places] << U64(21)) | ((np.arange(len(places), dtype=U64) - self.c[places]) << U64(42))
         return self.slots
 
 
-def encode_block(ids: np.ndarray, docs: list[tuple[int | None, int]], table: Table, lanes: int = 512, every: int = 256) -> bytes:
+def encode_block(ids: np.ndarray, docs: list[tuple[int | None, int]], table: Table, lanes: int = LANES, every: int = EVERY) -> bytes:
     """docs: (id, tokens) in order. every: steps between checkpoints."""
     steps = -(-len(ids) // lanes)
-    at = table.index[ids]
-    pad = np.zeros(steps * lanes, np.int64)
-    pad[: len(at)] = at
-    grid = pad.reshape(steps, lanes)
-    bits, x = U64(table.bits), np.full(lanes, LOW, U64)
+    at = np.zeros(steps * lanes, np.int64)
+    at[: len(ids)] = table.index[ids]
+    freq, cum = table.f[at].reshape(steps, lanes), table.c[at].reshape(steps, lanes)
+    bits, low, x = U64(table.bits), U64(32), np.full(lanes, LOW, U64)
+    top = freq * U64(((1 << 31) >> table.bits) << 32)
     words, made, marks = [], 0, []
-    limit = U64(((1 << 31) >> table.bits) << 32)
     for t in range(steps - 1, -1, -1):
-        f, c = table.f[grid[t]], table.c[grid[t]]
-        out = x >= limit * f
-        if out.any():
-            w = x[out].astype("<u4")  # the low 32 bits
-            words.append(w)
+        out = np.flatnonzero(x >= top[t])
+        if len(out):
+            w = x[out]
+            words.append(w.astype("<u4"))  # the low 32 bits
             made += len(w)
-            x[out] >>= U64(32)
+            x[out] = w >> low
+        f = freq[t]
         q = x // f
-        x = (q << bits) + (x - q * f) + c
+        x -= q * f
+        q <<= bits
+        x += q
+        x += cum[t]
         if t % every == 0:
             marks.append((t, made, x.copy()))
     marks.reverse()
@@ -241,26 +270,34 @@ def decode_block(block: bytes, table: Table, first: int = 0, last: int | None =
     x = np.frombuffer(body, "<u8", lanes, at + first * width + 4).astype(U64)
     stream = np.frombuffer(body, "<u4", n_words, at + n_marks * width)
     begin, end = first * every, steps if last is None else min(steps, last * every)
-    slots, bits, mask = table.slot_table(), U64(table.bits), U64((1 << table.bits) - 1)
-    grid = np.empty((end - begin, lanes), np.int32)
+    slots, bits, mask, word, part, field = table.slot_table(), U64(table.bits), U64((1 << table.bits) - 1), U64(32), U64(21), U64((1 << 21) - 1)
+    grid = np.empty((end - begin, lanes), np.int64)
     for t in range(end - begin):
-        slot = x & mask
-        s = slots[slot.astype(np.int64)]
-        grid[t] = s
-        x = table.f[s] * (x >> bits) + slot - table.c[s]
+        s = slots[(x & mask).view(np.int64)]
+        grid[t] = s & field
+        s >>= part
+        x >>= bits
+        x *= s & field
+        s >>= part
+        x += s
         low = np.flatnonzero(x < LOW)
         if len(low):
-            x[low] = (x[low] << U64(32)) | stream[pos : pos + len(low)].astype(U64)
+            x[low] = (x[low] << word) | stream[pos : pos + len(low)]
             pos += len(low)
     return ids, sizes, table.symbols[grid.reshape(-1)][: n - begin * lanes]
 
 
-RAW = "part int, start long, docs array<long>, sizes array<int>, ids binary"
+RAW = "part int, start long, docs array<long>, sizes array<int>, ids binary, symbols binary, counts binary"
 BLOCK = "part int, start long, n_docs long, n_tokens long, block binary"
 
 
-def write_ids(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, bits: int = 20, lanes: int = 512, every: int = 256, block_tokens: int = 1 << 18) -> None:
-    """Encodes every whole text, appends ``end_id``, and writes the folder ``path`` in ascending order of id."""
+def write_ids(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, bits: int = 18, lanes: int = LANES, every: int = EVERY, block_tokens: int = TOKENS) -> None:
+    """Encodes every whole text, appends ``end_id``, and writes the folder ``path`` in ascending order of id.
+
+    Texts are encoded once. Their ids are held under ``path`` until the table
+    is known, as 16 bits each where the vocabulary allows; a task that encodes
+    also counts its ids, and its counts are its last row.
+    """
     spark = df.sparkSession
     small_batches(spark)
     raw_arrow, block_arrow, count_arrow = (arrow_schema(spark, s) for s in (RAW, BLOCK, "id int, n long"))
@@ -268,33 +305,41 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_
 
     def tokens(batches):
         tok, part, start = worker_tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        size = max(tok.tok.get_vocab_size(), end_id + 1)
+        held_as, total = np.dtype("<u2" if size <= 1 << 16 else "<u4"), np.zeros(size, np.int64)
         held, docs, sizes, n = [], [], [], 0
 
-        def flush():
-            return to_batch({"part": [part], "start": [start], "docs": [docs], "sizes": [sizes], "ids": [b"".join(held)]}, raw_arrow)
+        def row(ids=b"", symbols=b"", counts=b""):
+            return to_batch({"part": [part], "start": [start], "docs": [docs], "sizes": [sizes], "ids": [ids], "symbols": [symbols], "counts": [counts]}, raw_arrow)
 
         for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = tok.encode(t) + end
-                held.append(got)
+            ids, lengths = tok.column(batch.column(1))
+            ids = np.insert(ids.astype(held_as), np.cumsum(lengths), end_id)
+            total += np.bincount(ids, minlength=size)
+            ends, at = np.cumsum(lengths + 1), 0
+            for d, m, end in zip(batch.column(0).to_pylist(), (lengths + 1).tolist(), ends.tolist(), strict=True):
                 docs.append(d)
-                sizes.append(len(got) // 4)
-                n += len(got) // 4
+                sizes.append(m)
+                n += m
                 if n >= block_tokens:
-                    yield flush()
-                    start, held, docs, sizes, n = start + n, [], [], [], 0
+                    held.append(ids[at:end])
+                    yield row(np.concatenate(held).tobytes())
+                    start, held, docs, sizes, n, at = start + n, [], [], [], 0, end
+            held.append(ids[at:])
         if docs:
-            yield flush()
+            yield row(np.concatenate(held).tobytes())
+            docs, sizes = [], []
+        found = np.flatnonzero(total)
+        if len(found):
+            yield row(symbols=found.astype("<i8").tobytes(), counts=total[found].tobytes())
 
     def count(batches):
-        total = np.zeros(1, np.int64)
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            for b in batch.column(0).to_pylist():
-                got = np.bincount(np.frombuffer(b, "<u4"))
-                if len(got) > len(total):
-                    total = np.pad(total, (0, len(got) - len(total)))
-                total[: len(got)] += got
+            for symbols, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = np.frombuffer(symbols, "<i8")
+                total = np.pad(total, (0, max(0, int(at.max(initial=-1)) + 1 - len(total))))
+                total[at] += np.frombuffer(counts, "<i8")
         found = np.flatnonzero(total)
         if len(found):
             yield to_batch({"id": found.tolist(), "n": total[found].tolist()}, count_arrow)
@@ -303,7 +348,8 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_
     ordered = whole.repartitionByRange(partitions(spark), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     ordered.mapInArrow(tokens, RAW).write.option("compression", "zstd").parquet(raw)
     stored = spark.read.schema(RAW).parquet(raw)
-    counts = stored.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # as many rows as the vocabulary has ids
+    counted = stored.filter("length(symbols) > 0").select("symbols", "counts").coalesce(max(1, partitions(spark) // 8))
+    counts = counted.mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # as many rows as the vocabulary has ids
     table = Table.scaled(np.array([r.id for r in counts], np.int64), np.array([r.n for r in counts], np.int64), bits)
     spark.createDataFrame([(bytearray(table.symbols.tobytes()), bytearray(table.freqs.tobytes()), bits, table.crc)], "symbols binary, freqs binary, bits int, crc long").coalesce(1).write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast((table.symbols, table.freqs, bits))  # bounded by the vocabulary
@@ -312,18 +358,21 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_
         t = Table(*shared.value)
         for batch in batches:
             for r in batch.to_pylist():
-                ids = np.frombuffer(r["ids"], "<u4")
-                b = encode_block(ids, list(zip(r["docs"], r["sizes"], strict=True)), t, lanes, every)
-                yield to_batch({"part": [r["part"]], "start": [r["start"]], "n_docs": [len(r["docs"])], "n_tokens": [len(ids)], "block": [b]}, block_arrow)
+                if r["docs"]:
+                    n = sum(r["sizes"])
+                    ids = np.frombuffer(r["ids"], "<u2" if len(r["ids"]) == 2 * n else "<u4")
+                    b = encode_block(ids, list(zip(r["docs"], r["sizes"], strict=True)), t, lanes, every)
+                    yield to_batch({"part": [r["part"]], "start": [r["start"]], "n_docs": [len(r["docs"])], "n_tokens": [n], "block": [b]}, block_arrow)
 
-    stored.mapInArrow(code, BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    stored.select("part", "start", "docs", "sizes", "ids").mapInArrow(code, BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     remove_path(spark, raw)
 
 
 def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids binary) of a folder: blocks are checked and decoded in parallel.
 
-    start: ids of all documents before. The offsets of the parts, as many rows
+    Blocks are byte strings of about as many bytes as tokens, so a batch holds a
+    few of them. start: ids of all documents before. The offsets of the parts, as many rows
     as the writer had partitions, are summed on the driver.
     """
     small_batches(spark)
