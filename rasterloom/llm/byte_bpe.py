@@ -8,8 +8,11 @@ can change the matches of the other. Ids are therefore those of the whole text.
 
 Defined results: a null or empty text has no ids (``ids`` is empty bytes,
 ``n_tokens`` 0, decoded bytes empty). Rows are independent, so repeated rows,
-null ids and ties each give their own row. A text without safe boundaries is
-encoded in one piece. Strings of special tokens are ordinary text.
+null ids and ties each give their own row. Stretches of over 65,536 characters
+without a safe boundary, such as very long runs of spaces or of letters, would
+exhaust the stack of the library's own splitter; they are split by the same
+pattern in the ``regex`` library, and each match is merged by tiktoken.
+Strings of special tokens are ordinary text.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -53,7 +57,10 @@ class RankEncoder:
     def __init__(self, ranks_path: str, pattern: str):
         import tiktoken
 
+        import regex
+
         ranks = read_ranks(ranks_path)
+        self.matches = regex.compile(pattern).finditer
         self.enc = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
@@ -63,7 +70,15 @@ class RankEncoder:
         if not text:
             return np.zeros(0, IDS)
         parts = safe_pieces(text) if len(text) > LONG else [text]
-        return np.concatenate([np.asarray(self.enc.encode_ordinary(p), IDS) for p in parts])
+        return np.concatenate([self._piece(p) for p in parts])
+
+    def _piece(self, text: str) -> np.ndarray:
+        if len(text) <= 2 * LONG:
+            return np.asarray(self.enc.encode_ordinary(text), IDS)
+        out = array("I")  # a plain list would hold an object for each id
+        for m in self.matches(text):
+            out.extend(self.enc._encode_single_piece(m[0]))
+        return np.frombuffer(out, IDS) if out else np.zeros(0, IDS)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return self.enc.decode_bytes(ids.tolist())

@@ -46,6 +46,24 @@ def test_invalid_utf8_decodes_to_raw_bytes():
     assert enc.decode(np.array(ids)) == b"\xff\xe4A"
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "a"])
+def test_unbroken_runs(run, tik):
+    enc = byte_bpe.RankEncoder(RANKS, public_tokenizers.PATTERN)
+    small = "Ab " + run * 70_000 + "c d"  # the library's own splitter still takes it
+    assert enc.encode(small).tolist() == tik.encode_ordinary(small)
+    for n in (10**6, 10**7):
+        text = "Ab cd" + run * n + "ef " + run * 3
+        ids = enc.encode(text)
+        assert enc.decode(ids) == text.encode()
+        assert ids[:1].tolist() == tik.encode_ordinary("Ab") and len(ids) > n // 8
+
+
+def test_counts_of_a_text_with_an_unbroken_run(spark, tik):
+    text = "One two\n" + " " * 10**6 + "three\nfour"
+    got = token_counts.token_counts(spark.createDataFrame([(1, text)], "doc_id long, text string"), RANKS, public_tokenizers.PATTERN).collect()
+    assert [r.section for r in got] == [0, 1, 2] and sum(r.n_tokens for r in got) == len(byte_bpe.RankEncoder(RANKS, public_tokenizers.PATTERN).encode(text))
+
+
 def whole_ids(df):
     tok = Tokenizer.from_file(TOKENIZER)
     tok.encode_special_tokens = True
