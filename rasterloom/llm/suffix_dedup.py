@@ -9,22 +9,27 @@ words (the minimiser) is retained, so equal runs retain equal places, about one
 in 22. A suffix is held as its leading hash, the hash of its *context* (all
 words that runs with this minimiser reach, left and right), and its place.
 
-Sort and compare. Suffixes with equal leading hash and context stand next to
-each other in sorted order; all but the earliest are repeated over the whole
-context. Suffixes with equal leading hash but different contexts are compared
-through the earliest of each context only.
-
-Extend. These are extended left and right: each run of 50 words that has the
-suffix as its minimiser is one extension, and the earliest of equal extensions
-is found by their hashes. Comparing each suffix only with its two neighbours
-in sorted order would lose the extensions whose partner stands further off.
-
-Work is linear in the words: there are no pairs. Groups are aggregated before
-the shuffle, so a passage in a third of all documents does not gather in a
-task. Hashes have 64 bits and are compared together with the leading hash.
+Sort and compare. Suffixes are sorted by leading hash, context, and place, and
+each is compared with its neighbour: one that has the context of the one before
+is repeated over all of it, as the first of each run of equal suffixes is the
+earliest. Sorting is by ranges of the whole key, so suffixes of one passage, were
+it in a third of all documents, spread over as many tasks as they fill; where a
+range begins inside a run, its first row is settled from the ends of the ranges
+before, one row a range.
+
+Extend. A context that has a neighbour with the same leading hash but other
+words around it may share some of them. The first suffix of each such context is
+extended left and right word by word: to every run of 50 words that has it as
+its minimiser. Extensions are sorted and compared with their neighbours in the
+same way. Comparing only the words that two neighbouring suffixes share would
+lose extensions whose partner stands further off.
+
+Work is linear in the words: there are no pairs and no joins on hashes. Hashes
+have 64 bits and are compared together with the leading hash.
 
 Defined results: words are split at ASCII white space and compared as bytes.
-Null, empty and short texts have nothing repeated. Null ids order first. Rows
+Null, empty and short texts have nothing repeated; very long texts are taken
+whole, one at a time. Null ids order first. Rows
 alike in id and text are one document, and neither repeats the other; rows
 alike in id only are told apart by their text's hash. An empty table gives an
 empty result.
@@ -35,13 +40,15 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, chunks, fresh, new_path, small_batches
+from .common import fresh, new_path, partitions, small_batches
 
 WORDS, LEAD = 50, 8
-SPANS = "d long, t long, lo int, hi int"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -76,14 +83,16 @@ def run_hashes(v: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
     return out
 
 
-class _Words(dict):
-    def __missing__(self, w: bytes) -> int:
-        import xxhash
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of a column of texts, and the place of each text's first word (with the end)."""
+    import xxhash
 
-        if len(self) > 500_000:
-            self.clear()
-        got = self[w] = xxhash.xxh64_intdigest(w)
-        return got
+    parts = pc.ascii_split_whitespace(texts.fill_null(""))
+    flat, offsets = parts.flatten(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    codes = flat.dictionary_encode()
+    names = np.array([xxhash.xxh64_intdigest(w) for w in codes.dictionary.to_pylist()], np.uint64)
+    hashes, full = names[codes.indices.to_numpy()], pc.binary_length(flat).to_numpy() > 0
+    return hashes[full], np.concatenate(([0], np.cumsum(full)))[offsets]
 
 
 def suffixes(values: np.ndarray, words: int = WORDS, lead: int = LEAD):
@@ -111,9 +120,91 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.coalesce(df[id_col].cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
-def _hashed(text: str, cache: _Words, words: int) -> np.ndarray | None:
-    found = text.encode().split()
-    return np.fromiter(map(cache.__getitem__, found), np.uint64, len(found)) if len(found) >= words else None
+SUFFIX = "h long, c long, d long, t long, lo int, hi int"
+#: What comparing finds: repeated suffixes, first suffixes of contexts to extend, and first and last rows of ranges.
+REPEATED, OPEN, FIRST, LAST = range(4)
+ORDER = ["h", "c", "d", "t", "lo"]
+KINDS = [np.int64, np.int64, np.int64, np.int64, np.int32, np.int32]
+
+
+def _compare(batches):
+    """Sorted suffixes of one range, each with the one before: rows (kind, part, suffix)."""
+    part, made = TaskContext.get().partitionId(), arrow_schema_of(f"kind int, part int, {SUFFIX}")
+
+    def rows(kind: int, x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x[0]), k, np.int32)) for k in (kind, part)] + [pa.array(v) for v in x], schema=made)
+
+    def one(kind: int, x: list) -> pa.RecordBatch:
+        return rows(kind, [np.array([v], k) for v, k in zip(x, KINDS, strict=True)])
+
+    before = None  # the first suffix of the run that the last row is in
+    begun = open_ = False  # was the run the range's first; has it a neighbour with its leading hash
+    for batch in batches:
+        x = [batch.column(i).to_numpy() for i in range(6)]
+        if not batch.num_rows:
+            continue
+        if before is None:
+            before = [v[0] for v in x]
+            begun = True
+            yield one(FIRST, before)
+        held = [np.concatenate(([a], v)) for a, v in zip(before, x, strict=True)]  # a row that stands for the run so far
+        h, c = held[0], held[1]
+        starts = np.flatnonzero((h[1:] != h[:-1]) | (c[1:] != c[:-1])) + 1
+        run = np.zeros(len(h), np.int64)
+        run[starts] = starts
+        run = np.maximum.accumulate(run)
+        other = np.zeros(len(h), bool)
+        for v in held[2:5]:
+            other |= v != v[run]
+        again = np.flatnonzero(other)
+        if len(again):
+            yield rows(REPEATED, [v[again] for v in held])
+        firsts = np.concatenate(([0], starts))
+        same = h[firsts[1:]] == h[firsts[:-1]]  # neighbouring contexts with one leading hash
+        near = np.concatenate(([open_], same)) | np.concatenate((same, [False]))
+        last = len(firsts) - 1
+        wanted = near.copy()
+        wanted[last] = False  # it may have a neighbour yet
+        if begun:
+            wanted[0] = False  # settled with the ends of the ranges
+        if wanted.any():
+            yield rows(OPEN, [v[firsts[wanted]] for v in held])
+        begun = begun and not last
+        before, open_ = [v[firsts[last]] for v in held], bool(near[last])
+    if before is not None:
+        if not begun:
+            yield one(OPEN, before)  # the next range may begin with its leading hash
+        yield one(LAST, before)
+
+
+def arrow_schema_of(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64()}
+    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
+
+
+def compared(found: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """(repeated suffixes, first suffixes of contexts to extend) of a stored table of suffixes.
+
+    Ends of ranges, two rows a partition, go to the driver.
+    """
+    spark = found.sparkSession
+    n = partitions(spark)
+    ordered = found.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER)
+    ordered.mapInArrow(_compare, f"kind int, part int, {SUFFIX}").write.option("compression", "zstd").parquet(path)
+    got = spark.read.schema(f"kind int, part int, {SUFFIX}").parquet(path)
+    ends = sorted(got.filter(F.col("kind") >= FIRST).collect(), key=lambda r: (r.part, r.kind))
+    settled: dict[int, list] = {REPEATED: [], OPEN: []}
+    run = None
+    for r in ends:
+        if r.kind == FIRST:
+            goes_on = run is not None and (run.h, run.c) == (r.h, r.c)
+            if not goes_on:
+                settled[OPEN].append(tuple(r)[2:])
+            elif (run.d, run.t, run.lo) != (r.d, r.t, r.lo):
+                settled[REPEATED].append(tuple(r)[2:])
+        if run is None or (run.h, run.c) != (r.h, r.c):
+            run = r
+    return tuple(got.filter(F.col("kind") == k).drop("kind", "part").unionByName(spark.createDataFrame(settled[k], SUFFIX)) for k in (REPEATED, OPEN))
 
 
 def repeated_spans(df: DataFrame, words: int = WORDS, lead: int = LEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,59 +214,55 @@ def repeated_spans(df: DataFrame, words: int = WORDS, lead: int = LEAD, id_col:
     spark = df.sparkSession
     small_batches(spark)
     docs = _keyed(df, id_col, text_col)
-    sparse = "h long, c long, d long, t long, lo int, hi int"
-    sparse_arrow, runs_arrow = arrow_schema(spark, sparse), arrow_schema(spark, "w long, h long, d long, t long, lo int")
+    schema = arrow_schema_of(SUFFIX)
+
+    def packed(tables):
+        """Record batches of some size from small lists of columns."""
+        held, n = [], 0
+        for x in tables:
+            held.append(x)
+            n += len(x[0])
+            if n >= 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(k, copy=False)) for v, k in zip(zip(*held), KINDS)], schema=schema)
+                held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(k, copy=False)) for v, k in zip(zip(*held), KINDS)], schema=schema)
 
     def retain(batches):
-        cache = _Words()
-
-        def rows():
+        def tables():
             for batch in batches:
-                for d, t, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    v = _hashed(text, cache, words)
-                    if v is not None:
-                        h, c, a, b, _ = suffixes(v, words, lead)
-                        yield from zip(h.tolist(), c.tolist(), [d] * len(h), [t] * len(h), a.tolist(), b.tolist(), strict=True)
-
-        yield from chunks(rows(), sparse_arrow, 65536)
+                v, at = word_hashes(batch.column(2))
+                for d, t, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    if b - a >= words:
+                        h, c, first, last, _ = suffixes(v[a:b], words, lead)
+                        yield h, c, np.full(len(h), d), np.full(len(h), t), first, last
 
-    path = new_path(spark, "suffixes")
-    docs.mapInArrow(retain, sparse).write.option("compression", "zstd").parquet(f"{path}/all")
-    kept = spark.read.schema(sparse).parquet(f"{path}/all")
-    contexts = kept.groupBy("h", "c").agg(F.min(F.struct("d", "t", "lo", "hi")).alias("f"), F.max(F.struct("d", "t", "lo")).alias("l"))
-    several = contexts.groupBy("h").agg(F.count("*").alias("k"), F.bool_or(F.struct("f.d", "f.t", "f.lo") != F.col("l")).alias("twice")).filter("k > 1 or twice")
-    contexts.join(several, "h").select("h", "c", "k", "f", (F.struct("f.d", "f.t", "f.lo") != F.col("l")).alias("again")).write.option("compression", "zstd").parquet(f"{path}/contexts")
-    known = spark.read.parquet(f"{path}/contexts")
-
-    # whole contexts that an earlier suffix has
-    again = known.filter("again").select("h", "c", "f")
-    later = kept.join(again, ["h", "c"]).filter(F.struct("d", "t", "lo") != F.struct("f.d", "f.t", "f.lo"))
-    whole = later.select("d", "t", "lo", (F.col("hi") + words).alias("hi"))
-
-    # extensions of the first suffix of each context, where contexts differ
-    wanted = known.filter("k > 1").groupBy(F.col("f.d").alias("d"), F.col("f.t").alias("t")).agg(F.collect_list(F.struct("f.lo", "f.hi", "h")).alias("at"))  # as many as a document has suffixes
+        yield from packed(tables())
 
     def extend(batches):
-        cache = _Words()
-
-        def rows():
+        def tables():
             for batch in batches:
-                for d, t, text, at in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    w = run_hashes(_hashed(text, cache, words), (words,))[0].view(np.int64)
-                    for x in at:
-                        for p in range(x["lo"], x["hi"] + 1):
-                            yield int(w[p]), x["h"], d, t, p
-
-        yield from chunks(rows(), runs_arrow, 65536)
-
-    texts = docs.join(wanted, ["d", "t"])
-    runs = texts.select("d", "t", "text", "at").mapInArrow(extend, "w long, h long, d long, t long, lo int")
-    runs.write.option("compression", "zstd").parquet(f"{path}/runs")
-    runs = spark.read.parquet(f"{path}/runs")
-    firsts = runs.groupBy("w", "h").agg(F.min(F.struct("d", "t", "lo")).alias("f"), F.max(F.struct("d", "t", "lo")).alias("l")).filter("f <> l").select("w", "h", "f")
-    parts = runs.join(firsts, ["w", "h"]).filter(F.struct("d", "t", "lo") != F.col("f")).select("d", "t", "lo", (F.col("lo") + words).alias("hi"))
-
-    return whole.unionByName(parts).groupBy("d", "t").agg(merged(F.collect_list(F.struct("lo", "hi"))).alias("spans"))  # as many as a document has words
+                v, at = word_hashes(batch.column(2))
+                lists = batch.column(3)
+                held, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                lo, hi, h = (held.field(i).to_numpy().astype(np.int64) for i in range(3))
+                for i, (d, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                    w = run_hashes(v[at[i] : at[i + 1]], (words,))[0].view(np.int64)
+                    one = slice(ends[i], ends[i + 1])
+                    sizes = hi[one] - lo[one] + 1
+                    p = np.arange(sizes.sum()) + np.repeat(lo[one] - (np.cumsum(sizes) - sizes), sizes)
+                    yield np.repeat(h[one], sizes), w[p], np.full(len(p), d), np.full(len(p), t), p, p
+
+        yield from packed(tables())
+
+    path = new_path(spark, "suffixes")
+    docs.mapInArrow(retain, SUFFIX).write.option("compression", "zstd").parquet(f"{path}/all")
+    whole, open_ = compared(spark.read.schema(SUFFIX).parquet(f"{path}/all"), f"{path}/compared")
+    wanted = open_.groupBy("d", "t").agg(F.array_distinct(F.collect_list(F.struct("lo", "hi", "h"))).alias("at"))  # as many as a document has suffixes
+    docs.join(wanted, ["d", "t"]).select("d", "t", "text", "at").mapInArrow(extend, SUFFIX).write.option("compression", "zstd").parquet(f"{path}/extensions")
+    parts, _ = compared(spark.read.schema(SUFFIX).parquet(f"{path}/extensions"), f"{path}/compared-extensions")
+    spans = whole.unionByName(parts).select("d", "t", F.struct("lo", (F.col("hi") + words).alias("hi")).alias("s"))
+    return spans.groupBy("d", "t").agg(merged(F.collect_list("s")).alias("spans"))  # as many as a document has words
 
 
 def merged(spans: Column) -> Column:

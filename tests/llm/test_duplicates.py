@@ -143,18 +143,31 @@ def test_short_runs_against_brute_force(spark, words, lead):
     assert sorted(map(tuple, suffix_dedup.repeats(df, words, lead).collect())) == want
 
 
+def test_a_passage_in_all_documents_is_settled_over_ranges(spark):
+    """One run of equal suffixes that begins in one range and goes on through others; repeated rows in it."""
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(i, f"a{i} b{i} {passage} c{i}") for i in range(900)] + [(0, f"a0 b0 {passage} c0")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = suffix_dedup.repeats(df, 6, 3).collect()
+    assert sorted(map(tuple, got)) == [(i, 2, 14, 12) for i in range(1, 900)]
+
+
 def test_removal(odd, empty, docs):
-    out = suffix_dedup.remove_repeats(docs)
-    assert out.columns == docs.columns
-    assert not suffix_dedup.repeats(out.select("doc_id", "text")).collect() or out.count() <= docs.count()
-    spans = {r.doc_id for r in suffix_dedup.repeats(docs).collect()}
-    before = {r.doc_id: r.text for r in docs.collect()}
-    after = {r.doc_id: r for r in out.collect()}
-    for d, t in before.items():
-        if d not in spans:
-            assert after[d].text == t
-        elif d in after:
-            assert len(after[d].text) < len(t) and after[d].n_chars == len(after[d].text)
-    got = suffix_dedup.remove_repeats(odd)
-    assert got.columns == odd.columns and {r["_s"] for r in got.collect()} == {"own _s"}
+    for df in (docs, odd):
+        rows = sorted({(r.doc_id is not None, r.doc_id or 0, r.text or "") for r in df.collect()})
+        hashes = {r.text: r.h for r in df.selectExpr("coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS h").collect()}
+        rows.sort(key=lambda r: (*r[:2], hashes[r[2]]))
+        places = plain_repeats([r[1:] for r in rows], 50)
+        want = {}
+        for i, r in enumerate(rows):
+            w = r[2].encode().split()
+            left = [x for j, x in enumerate(w) if j not in places[i]]
+            if left or not places[i]:
+                want[r] = left
+        out = suffix_dedup.remove_repeats(df)
+        assert out.columns == df.columns
+        got = out.collect()
+        assert {(r.doc_id is not None, r.doc_id or 0, *(r.text or "").encode().split()) for r in got} == {(*k[:2], *v) for k, v in want.items()}
+        assert all(r.n_chars == len(r.text) for r in got if r.text is not None)
+    assert {r["_s"] for r in got} == {"own _s"}
     assert not suffix_dedup.remove_repeats(empty).collect() and not suffix_dedup.repeats(empty).collect()
