@@ -1,23 +1,33 @@
 """Main text of web pages by nearest-URL page differencing (operator 9).
 
-Pages of a host, in the order of their URL paths, are paired with the one of
-their two neighbours that has more of the path in common (on a tie the next). Lines of the two, in order, are aligned by their
-longest common subsequence, and shared lines are deleted: they are the site's
-template.
-
-Differencing alone can't give right results. Menus, adverts and footers that a
-site draws afresh for every page are shared with no neighbour, and a sentence
-that two articles have in common is no template. So blocks whose markup says
-what they are (nav, aside, form, ``class="ad"`` and the like) are left out
-first, and shared lines are deleted only outside an article or main element;
-a page with such an element keeps that element's lines alone. Inside it, only
-elements, roles and whole class or id names of known boilerplate are left out.
-
-Defined results: a null or empty page has no text. Pages that share all their
-lines (copies) keep them: a page is never emptied by its neighbour's copy.
-Pages without a URL are a host of their own. Repeated rows are neighbours of
-each other and keep their text. Markup that is cut off or not closed ends with
-its container. Character references are decoded as browsers do.
+Pages of a host, in the order of their URLs, are paired with the pages next to
+them that have another URL; the nearer is the one with more of the path in
+common (on a tie the next). All text lines of the two, menus and the like
+included, are aligned by their longest common subsequence. Shared lines are the
+site's template and are deleted:
+
+* in a page without a main element (article, main), those that the nearer
+  neighbour shares,
+* inside a main element only those that both neighbours share, as two articles
+  may have a sentence in common that is no template.
+
+A neighbour that shares so much of a page that it must be a copy of it or an
+edition of the same article (``SAME``) says nothing about the template.
+
+Differencing alone can't give right results: menus, adverts and footers that a
+site draws afresh for every page are shared with no neighbour. So of the lines
+it leaves, those in blocks whose markup says what they are (nav, aside, form,
+``class="ad"`` and the like) go next, and a page with a main element keeps that
+element's lines alone. Inside it, only elements, roles and whole class or id
+names of known boilerplate go.
+
+Defined results: a null or empty page has no text. Pages without a URL have no
+neighbours. Of several pages with one URL all have the last page with the URL
+before as a neighbour, and only the last has the page after; under the first URL
+of a host the others have none. Rows alike in URL and page_id are ordered by
+the URL as it is written, then the page. Very long pages are aligned in memory of the square root of their
+lines' product. Markup that is cut off or not closed ends with its container.
+Character references are decoded as browsers do. Extra columns aren't carried.
 """
 
 from __future__ import annotations
@@ -28,7 +38,7 @@ from math import isqrt
 from os.path import commonprefix
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, chunks, partitions, small_batches
@@ -55,6 +65,9 @@ INSIDE = {
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 SPACE = re.compile(r"\s+")
+#: A neighbour that shares more than this part of the characters of a page's main element, or of a page without one, is no other page.
+SAME = {True: 0.5, False: 0.9}
+Line = tuple[str, int]
 
 
 def _kind(tag: str, name: str, inside: bool = False) -> int:
@@ -77,19 +90,22 @@ def _kind(tag: str, name: str, inside: bool = False) -> int:
     return 0
 
 
-def blocks(page: str | None) -> list[tuple[str, bool]]:
-    """(line, in a main element?) of each block of a page that isn't left out, in order."""
-    out: list[tuple[str, bool]] = []
+def blocks(page: str | None) -> list[Line]:
+    """(line, kind) of each block of a page in order: kind 1 in a main element, -1 in what markup leaves out, else 0."""
+    out: list[Line] = []
     text: list[str] = []
+    dark: list[str] = []  # text of the block that is left out
     stack: list[tuple[str, int]] = []  # open elements that hold blocks or are left out, with their kind
     hidden = main = 0
     raw = ""
 
     def close_block():
-        line = SPACE.sub(" ", html.unescape("".join(text))).strip()
-        text.clear()
-        if line:
-            out.append((line, main > 0))
+        for held, kind in ((text, 1 if main else 0), (dark, -1)):
+            if held:
+                line = SPACE.sub(" ", html.unescape("".join(held))).strip()
+                held.clear()
+                if line:
+                    out.append((line, kind))
 
     def pop():
         nonlocal hidden, main
@@ -100,8 +116,8 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
     for m in TOKEN.finditer(page or ""):
         t = m[0]
         if t[0] != "<" or len(t) == 1:
-            if not raw and not hidden:
-                text.append(t)
+            if not raw:
+                (dark if hidden else text).append(t)
             continue
         n = NAME.match(t)
         if not n:
@@ -123,7 +139,7 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
                     break
             continue
         if name == "br":
-            text.append(" ")
+            (dark if hidden else text).append(" ")
             continue
         if name in VOID or t.endswith("/>"):
             continue
@@ -141,20 +157,20 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
     return out
 
 
-def shared(a: list[str], b: list[str]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence with ``b``."""
+def shared(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
+    """Places in ``a`` and in ``b`` of a longest common subsequence."""
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1
     hi = 0
     while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
-    found = {*range(lo), *range(len(a) - hi, len(a))}
+    found, there = {*range(lo), *range(len(a) - hi, len(a))}, {*range(lo), *range(len(b) - hi, len(b))}
     x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
     common = set(x) & set(y)
     xs, ys = [i for i, v in enumerate(x) if v in common], [j for j, v in enumerate(y) if v in common]
     if not xs:
-        return found
+        return found, there
     code = {v: k for k, v in enumerate(common)}
     u, v = [code[x[i]] for i in xs], np.array([code[y[j]] for j in ys])
     n, every = len(u), isqrt(len(u)) + 1
@@ -182,73 +198,100 @@ def shared(a: list[str], b: list[str]) -> set[int]:
                 band[k] = row(k, band[k + 1])
         if u[i] == v[j]:
             found.add(lo + xs[i])
+            there.add(lo + ys[j])
             i, j = i + 1, j + 1
         elif band[i + 1][j] >= band[i][j + 1]:
             i += 1
         else:
             j += 1
-    return found
+    return found, there
 
 
-def main_text(page: list[tuple[str, bool]], partner: list[tuple[str, bool]] | None) -> str:
-    """Lines of the main elements, or without any the lines that the partner doesn't share."""
-    if any(m for _, m in page):
-        return "\n".join(line for line, m in page if m)
-    lines = [line for line, _ in page]
-    if not partner:
-        return "\n".join(lines)
-    gone = shared(lines, [line for line, _ in partner])
-    left = [line for i, line in enumerate(lines) if i not in gone]
-    return "\n".join(left or lines)
+def main_text(page: list[Line], neighbours: list[set[int]]) -> str:
+    """The text of a page; neighbours: places of the lines that each shares, the nearer first, two at most."""
+    main = any(kind == 1 for _, kind in page)
+    own = [i for i, (_, kind) in enumerate(page) if kind == main]
+    whole = sum(len(page[i][0]) for i in own)
+    others = [s for s in neighbours if sum(len(page[i][0]) for i in own if i in s) <= SAME[main] * whole]
+    if main:
+        gone = others[0] & others[1] if len(others) > 1 else set()
+    else:
+        gone = others[0] if others else set()
+    return "\n".join(page[i][0] for i in own if i not in gone)
 
 
 OUT_COLUMNS = "page_id long, url string, text string, n_chars long"
 
 
-def url_key():
-    """Host, then path without scheme, query and fragment, then the rest: pages of a host stand together."""
-    url = F.coalesce(F.col("url"), F.lit(""))
+def url_key(url: Column) -> Column:
+    """Host, path and query without scheme and fragment: pages of a host stand together, in the order of their paths."""
     rest = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.lower(F.regexp_extract(rest, r"^([^/?#]*)", 1))
-    path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    return F.concat(host, F.lit("\u0001"), path)
+    path, query = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1)
+    return F.concat(host, F.lit("\u0001"), path, F.lit("\u0001"), query)
+
+
+class _Page:
+    def __init__(self, edge: int, page_id: int | None, url: str, key: str, page: str):
+        self.edge, self.page_id, self.url, self.key, self.host = edge, page_id, url, key, key.partition("\u0001")[0]
+        self.blocks = blocks(page)
+
+    def against(self, other: _Page | None) -> tuple[set[int], set[int]] | None:
+        """Shared lines of this page and of another one of the host."""
+        if other is None or other.host != self.host:
+            return None
+        return shared([x for x, _ in self.blocks], [x for x, _ in other.blocks])
+
+
+def differenced(pages):
+    """(page_id, url, text, n_chars) of the own pages of a sorted part."""
+
+    def done(x: _Page, before: tuple[_Page, set[int]] | None, after: tuple[_Page, set[int]] | None):
+        near = [y for y in (after, before) if y]
+        near.sort(key=lambda y: -len(commonprefix([y[0].key, x.key])))
+        text = main_text(x.blocks, [places for _, places in near])
+        return x.page_id, x.url, text, len(text)
+
+    last = now = None  # the last page with another URL, and the page that waits for the one after it
+    before = None  # what the last page shares with the one that waits
+    for x in pages:
+        if now is None:
+            now = x
+            continue
+        if x.key == now.key:
+            if now.edge == 0:
+                yield done(now, before, None)
+            got = last and x.against(last)
+        else:
+            got = x.against(now) if 0 in (now.edge, x.edge) else None
+            if now.edge == 0:
+                yield done(now, before, got and (x, got[1]))
+            last = now
+        before = got and (last, got[0])
+        now = x
+    if now is not None and now.edge == 0:
+        yield done(now, before, None)
 
 
 def extract(df: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of a table (page_id, url, html)."""
     spark = df.sparkSession
     small_batches(spark)
-    pages = df.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("k", url_key())
-    n = partitions(spark)
-    keys = pages.select("k", F.xxhash64("k", "page_id").alias("h")).orderBy("h").limit(40 * n).select("k").toPandas()["k"].tolist()  # only to balance the parts
-    keys.sort()
-    bounds = sorted({keys[len(keys) * i // n] for i in range(1, n)}) if keys else []
-    parts = sorted_parts(pages, "k", ["page_id", "html"], n, bounds, before=True)
     arrow = arrow_schema(spark, OUT_COLUMNS)
+    pages = df.select(df["page_id"].cast("long").alias("page_id"), df["url"], F.coalesce(df["html"], F.lit("")).alias("html"))
+    blank = F.coalesce(F.trim("url"), F.lit("")) == ""
+    keyed = pages.filter(~blank).withColumns({"k": url_key(F.col("url")), "i": F.coalesce("page_id", F.lit(-(1 << 63)))})
+    parts = sorted_parts(keyed, "k", "i", partitions(spark), apart=True, then=("url", "html"))
+
+    def listed(batches):
+        for batch in batches:
+            yield from zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True)
+
+    def alone(batches):
+        yield from chunks(((i, url, text, len(text)) for i, url, page in listed(batches) for text in (main_text(blocks(page), []),)), arrow, 512)
+
+    def paired(batches):
+        yield from chunks(differenced(_Page(*r) for r in listed(batches)), arrow, 512)
 
-    def run(batches):
-        def host(r):
-            return r[4].partition("\u0001")[0]
-
-        def rows():
-            # three rows are held: the one before, this one, and the one after
-            before = now = None
-            for batch in batches:
-                for r in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                    r = (*r, blocks(r[5]))
-                    if now is not None:
-                        yield from done(before, now, r)
-                    before, now = now, r
-            if now is not None:
-                yield from done(before, now, None)
-
-        def done(a, x, b):
-            if x[1] == 0:
-                near = [y for y in (b, a) if y and y[0] == x[0] and host(y) == host(x) and y[2:4] != x[2:4]]
-                near = max(near, key=lambda y: len(commonprefix([y[4], x[4]])), default=None)
-                text = main_text(x[6], near and near[6])
-                yield x[2], x[3], text, len(text)
-
-        yield from chunks(rows(), arrow, 512)
-
-    return parts.select("part", "edge", "page_id", "url", "k", "html").mapInArrow(run, OUT_COLUMNS)
+    found = parts.select("edge", "page_id", "url", "k", "html").mapInArrow(paired, OUT_COLUMNS)
+    return found.unionByName(pages.filter(blank).mapInArrow(alone, OUT_COLUMNS))

@@ -206,10 +206,8 @@ def compare_edited(df: DataFrame, rank: np.ndarray | None = None) -> DataFrame:
     """Every document's digest beside those of its edited text and of the next document by id."""
     spark = df.sparkSession
     rank = learn_rarity(df) if rank is None else rank
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    n = partitions(spark)
-    bounds = docs.approxQuantile("k", [i / n for i in range(1, n)], 0.002) if n > 1 else []
-    parts = sorted_parts(docs, "k", ["text"], n, sorted({int(b) for b in bounds}))
+    docs = df.select(df["doc_id"].cast("long").alias("doc_id"), F.coalesce(df["text"], F.lit("")).alias("text"))
+    parts = sorted_parts(docs.withColumns({"k": F.coalesce("doc_id", F.lit(-(1 << 63))), "h": F.xxhash64("text")}), "k", "h", partitions(spark), wrap=True)
     arrow = arrow_schema(spark, COMPARED)
 
     def run(batches):
