@@ -1 +1 @@
-"""Kernels of the displacement engine."""
+"""Array kernels: pure functions of numpy arrays, without Spark."""

@@ -66,3 +66,18 @@ def bilinear(points: DataFrame, px: DataFrame, key: list[str], x: str, y: str) -
     met = near.join(px.select("row", "col", "value"), ["row", "col"], "left")
     total = F.when(F.count("*") == F.count("value"), F.sum(F.col("w") * F.col("value")))
     return met.groupBy(*key).agg(total.alias("value"))
+
+
+def stacked(parts: list[tuple[DataFrame, int]]) -> DataFrame:
+    """Tiles one under the other: each with a number added to its rows."""
+    out = None
+    for px, offset in parts:
+        moved = px.select((F.col("row") + offset).alias("row"), "col", "value")
+        out = moved if out is None else out.unionByName(moved)
+    return out
+
+
+def mean_where_missing(df: DataFrame, value: str) -> DataFrame:
+    """Missing values replaced by the mean of all others: one number, joined to every row."""
+    mean = df.agg(F.avg(value).alias("_mean"))
+    return df.crossJoin(F.broadcast(mean)).withColumn(value, F.coalesce(value, "_mean")).drop("_mean")  # a single row

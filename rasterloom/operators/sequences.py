@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ def bracket(points: DataFrame, samples: DataFrame, key: str, t: str, v: str) ->
     both = seg.select(key, F.col(t).alias("_t"), F.lit(0).alias("_p"), s.alias("_s")).unionByName(points.select(key, F.col(t).alias("_t"), F.lit(1).alias("_p")).withColumn("_s", F.lit(None).cast(seg.select(s.alias("s")).schema["s"].dataType)))
     order = Window.partitionBy(key).orderBy("_t", "_p")
     last = F.last("_s", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first("_s", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    first = F.min_by("_s", F.when(F.col("_p") == 0, F.col("_t"))).over(Window.partitionBy(key))  # the key's first pair
     return both.withColumn("_b", F.coalesce(last, first)).filter("_p = 1").select(key, F.col("_t").alias(t), "_b.*")
 
 
@@ -54,7 +55,7 @@ def trim(df: DataFrame, key: str, t: str, lo, hi, keep: int = 4) -> DataFrame:
 def direction(df: DataFrame, key: str, t: str, v: str, tol: float = 1e-9) -> DataFrame:
     """(key, direction): 1 rising, -1 falling, 0 neither or fewer than two rows."""
     w = Window.partitionBy(key).orderBy(t)
-    d = df.withColumn("_d", F.lead(v).over(w) - F.col(v)).filter("_d IS NOT NULL or true").groupBy(key)
+    d = df.withColumn("_d", F.lead(v).over(w) - F.col(v)).groupBy(key)
     up, down = F.bool_and(F.col("_d") > -tol) & F.bool_or(F.col("_d") > tol), F.bool_and(F.col("_d") < tol) & F.bool_or(F.col("_d") < -tol)
     return d.agg(F.when(up, 1).when(down, -1).otherwise(0).alias("direction"))
 
@@ -86,3 +87,47 @@ def lagrange(points: DataFrame, samples: DataFrame, key: str, t: str, v: str) ->
     nodes = samples.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(t).alias("t"), F.col(v).alias("v")))).alias("_n"))
     basis = lambda x: lambda p: F.aggregate(F.filter("_n", lambda q: q["t"] != p["t"]), p["v"].cast("double"), lambda acc, q: acc * (x - q["t"]) / (p["t"] - q["t"]))
     return points.join(nodes, key).select(key, t, F.aggregate(F.transform("_n", basis(F.col(t))), F.lit(0.0), lambda acc, x: acc + x).alias(v))
+
+
+def repair(df: DataFrame, key: str, t: str, v: str, bad: str) -> DataFrame:
+    """(key, t, v): flagged values replaced by linear interpolation between the nearest valid ones, the end values beyond them, 0 if a key has none."""
+    w = Window.partitionBy(key).orderBy(t)
+    good = F.when(~F.col(bad), F.struct(F.col(t).alias("t"), F.col(v).alias("v")))
+    before = F.last(good, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last(good, True).over(Window.partitionBy(key).orderBy(F.col(t).desc()).rowsBetween(Window.unboundedPreceding, 0))
+    got = df.select(key, t, v, bad, before.alias("_a"), after.alias("_b"))
+    line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col(t) - F.col("_a.t")) / (F.col("_b.t") - F.col("_a.t"))
+    made = F.when(F.col("_a").isNull() & F.col("_b").isNull(), F.lit(0.0)).when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_b").isNull(), F.col("_a.v")).otherwise(line)
+    return got.select(key, t, F.when(F.col(bad), made).otherwise(F.col(v)).alias(v))
+
+
+def at_fraction(points: DataFrame, samples: DataFrame, key: str, i: str, v: str, at: str) -> DataFrame:
+    """Points with the value at a fractional place of their key's samples (numbered by i); beyond the last pair the last value. An equi-join on the whole part."""
+    w = Window.partitionBy(key).orderBy(i)
+    seg = samples.select(key, F.col(i).cast("long").alias("_i"), F.col(v).alias("_v0"), F.lead(v).over(w).alias("_v1"))
+    met = points.withColumn("_i", F.floor(at)).join(seg, [key, "_i"])
+    return met.withColumn(v, F.col("_v0") + F.coalesce(F.col("_v1") - F.col("_v0"), F.lit(0.0)) * (F.col(at) - F.col("_i"))).drop("_i", "_v0", "_v1")
+
+
+def line_time(start, i, period):
+    """Time of scan line i; a negative period for reverse scans."""
+    return start + i * period
+
+
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """Adds ``i``, each row's place from 1 in a total order: rows are sorted by ranges, and numbers inside a range begin after the rows of those before.
+
+    The rows of each range are counted on the driver, one number a partition.
+    The ranges come from a sample, so the dealt rows are kept on disk for both
+    passes; lost ones are dealt again by the same ranges.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    sizes = {r["_p"]: r["n"] for r in part.groupBy("_p").agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for k in range(n):
+        before.append(F.lit(total).cast("long"))
+        total += sizes.get(k, 0)
+    at = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return part.withColumn("i", at + F.element_at(F.array(*before), F.col("_p") + 1)).drop("_p")

@@ -68,6 +68,11 @@ def robust_plane_fit(df: DataFrame, x: str, y: str, obs: str, rounds: int = 5) -
     return fit
 
 
+def robust_affine_fit(df: DataFrame, col: str, row: str, x: str, y: str, rounds: int = 5) -> tuple[float, ...]:
+    """Six numbers of x = a0 col + a1 row + a2, y = b0 col + b1 row + b2; as the loss is of each residual, the axes are fitted apart."""
+    return (*robust_plane_fit(df, col, row, x, rounds), *robust_plane_fit(df, col, row, y, rounds))
+
+
 def affine_fit(df: DataFrame, col: str, row: str, x: str, y: str, by: list[str]) -> DataFrame:
     """By group the six numbers of x = a0 col + a1 row + a2, y = b0 col + b1 row + b2."""
     one = F.lit(1.0)
