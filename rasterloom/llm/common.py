@@ -42,6 +42,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of ids and hashes that may be broadcast.
+FEW = 300_000
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """Marked for broadcast if a table of narrow rows has at most so many; counting stops beyond. ``df`` should be cut or stored."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

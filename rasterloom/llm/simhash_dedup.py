@@ -9,10 +9,10 @@ some start must exist from which every run of l segments differs in at most
 l * distance / m bits. Only pairs that pass are compared in full.
 
 Blocks with more than ``block`` different fingerprints (large groups of near
-copies) are never paired. Their fingerprints are linked exactly by another
-way: at distance 1 or 2 two fingerprints share a value at most one bit away
-from each, so each is listed under itself and its 64 neighbours, lists that
-cannot hold more than 65 entries.
+copies) are dealt again by the same rule: the bits that their fingerprints don't
+share by key are cut into m segments, two of which are equal in a linked pair.
+After three dealings at most 256 values are left to differ, so no block is larger
+than that, whatever the input, and all pairs come through the filter.
 
 Only different fingerprints are compared; copies of a text share theirs. The
 links are a table, and components are found in it without the driver.
@@ -26,11 +26,12 @@ table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, cut, map_rows, partitions, small_batches, to_batch
-from .components import components
+from .common import arrow_schema, cut, few, map_rows, small_batches, to_batch
+from .components import components, met_by_key
 
 BLOCK = 128
 
@@ -94,27 +95,49 @@ def block_links(fps: np.ndarray, distance: int, m: int) -> list[tuple[int, int]]
     return list(zip(s[a[keep]].tolist(), s[b[keep]].tolist(), strict=True))
 
 
+def _pairs(m: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(m) for j in range(i + 1, m)]
+
+
 def _keys(fp: Column, m: int) -> Column:
     seg = [F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in segments(m)]
-    pairs = [(i, j) for i in range(m) for j in range(i + 1, m)]
-    return F.array(*[F.struct(F.lit(k).cast("byte").alias("k"), (F.shiftleft(seg[i], 32).bitwiseOR(seg[j])).alias("s")) for k, (i, j) in enumerate(pairs)])
+    return F.array(*[F.struct(F.lit(k).alias("k"), (F.shiftleft(seg[i], 32).bitwiseOR(seg[j])).alias("s")) for k, (i, j) in enumerate(_pairs(m))])
+
+
+def open_segments(path: int, level: int, m: int) -> list[tuple[int, int]]:
+    """(shift, width) of the m segments at a level: pieces of those that the pairs of the levels before, the digits of ``path``, leave open."""
+    now, pairs = segments(m), _pairs(m)
+    for step in range(level):
+        digit = path // len(pairs) ** (level - 1 - step) % len(pairs)
+        left = [x for i, x in enumerate(now) if i not in pairs[digit]]
+        parts = m // len(left)
+        now = [(s + w * p // parts, w * (p + 1) // parts - w * p // parts) for s, w in left for p in range(parts)]
+    return now
+
+
+def dealt_again(fps: np.ndarray, paths: np.ndarray, keys: np.ndarray, level: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints, paths and keys of the next dealing of rows at a level."""
+    out: list[list[np.ndarray]] = [[], [], []]
+    pairs, u = _pairs(m), fps.view(np.uint64)
+    for path in np.unique(paths):
+        at = np.flatnonzero(paths == path)
+        seg = [(u[at] >> np.uint64(s)) & np.uint64((1 << w) - 1) for s, w in open_segments(int(path), level, m)]
+        for digit, (i, j) in enumerate(pairs):
+            own = (keys[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ ((seg[i] << np.uint64(32)) | seg[j])
+            own = (own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)  # blocks whose names clash only grow
+            for held, v in zip(out, (fps[at], np.full(len(at), path * len(pairs) + digit), own.view(np.int64)), strict=True):
+                held.append(v)
+    return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in out)
 
 
 def links(fps: DataFrame, distance: int = 2, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that join all different fingerprints (column fp) within the distance, directly or through others.
-
-    All pairs in a small block; in an oversized one, each list of neighbours
-    is linked to its smallest member.
-    """
+    """(a, b): all pairs of different fingerprints (column fp) within the distance."""
     if distance not in (0, 1, 2):
         raise ValueError("distance is 0, 1 or 2")
-    m = distance + 2
+    m, last = distance + 2, {0: 0, 1: 1, 2: 2}[distance]
     spark = fps.sparkSession
     small_batches(spark)
-    arrow = arrow_schema(spark, "a long, b long")
-    keyed = fps.select("fp", F.explode(_keys(F.col("fp"), m)).alias("x")).select("fp", "x.k", "x.s")
-    sizes = keyed.groupBy("k", "s").agg(F.count("*").alias("n")).filter("n > 1")
-    met = cut(keyed.join(sizes, ["k", "s"]))
+    arrow, rows_arrow = arrow_schema(spark, "a long, b long"), arrow_schema(spark, "fp long, k int, s long")
 
     def pairs(batches):
         for batch in batches:
@@ -123,41 +146,61 @@ def links(fps: DataFrame, distance: int = 2, block: int = BLOCK) -> DataFrame:
                 a, b = zip(*got, strict=True)
                 yield to_batch({"a": list(a), "b": list(b)}, arrow)
 
-    small = met.filter(F.col("n") <= block).groupBy("k", "s").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(pairs, "a long, b long")
-    big = met.filter(F.col("n") > block).select("fp").distinct()
-    near = F.array(F.col("fp"), *([F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)] if distance else []))
-    balls = big.repartition(partitions(spark), "fp").select("fp", F.explode(near).alias("v"))
-    if distance == 1:  # a neighbour is a fingerprint itself
-        stars = balls.filter("v > fp").join(big.withColumnRenamed("fp", "v"), "v").select(F.col("fp").alias("a"), F.col("v").alias("b"))
-    else:
-        lists = balls.groupBy("v").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).filter(F.size("all") > 1)  # 65 at most
-        stars = lists.select("a", F.explode("all").alias("b")).filter("a <> b").distinct()
-    return small.distinct().unionByName(stars)
+    def deeper(level):
+        def run(batches):
+            for batch in batches:
+                x, k, s = dealt_again(*(batch.column(i).to_numpy() for i in range(3)), level, m)
+                for at in range(0, len(x), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]), pa.array(k[at : at + (1 << 16)].astype(np.int32)), pa.array(s[at : at + (1 << 16)])], schema=rows_arrow)
+
+        return run
+
+    keyed = fps.select("fp", F.explode(_keys(F.col("fp"), m)).alias("x")).select("fp", "x.k", "x.s")
+    found = None
+    for level in range(last + 1):
+        sizes = keyed.groupBy("k", "s").agg(F.count("*").alias("n")).filter("n > 1")
+        met = cut(met_by_key(keyed, sizes, ["k", "s"], "n", keyed.count()))
+        fits = F.col("n") <= block if level < last else F.lit(True)
+        near = met.filter(fits).groupBy("k", "s").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(pairs, "a long, b long")  # a block at most
+        found = near if found is None else found.unionByName(near)
+        large = met.filter(~fits).select("fp", "k", "s")
+        if level == last or large.isEmpty():
+            break
+        keyed = cut(large.mapInArrow(deeper(level + 1), "fp long, k int, s long"))
+    return found.distinct()
 
 
 def _named(docs: DataFrame, distance: int, block: int, id_col: str) -> DataFrame:
-    """(fp, root, component_id) of the different fingerprints of a table (id, fp)."""
-    firsts = cut(docs.groupBy("fp").agg(F.min(id_col).alias("first")))
+    """(fp, root, component_id, n) of the different fingerprints of a table (id, fp); n: their rows."""
+    firsts = cut(docs.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n")))
     roots = components(links(firsts, distance, block))
-    rooted = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return cut(rooted.join(ids, "root").select("fp", "root", "component_id"))
+    rooted = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"), "n")
+    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("size"))
+    return cut(met_by_key(rooted, ids, ["root"], "size", firsts.count()).select("fp", "root", "component_id", "n"))
 
 
 def near_duplicates(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint hex, component_id) of every document."""
     docs = cut(fingerprints(df, words, seed, id_col, text_col))
-    out = docs.join(_named(docs, distance, block, id_col), "fp")
+    out = met_by_key(docs, _named(docs, distance, block, id_col), ["fp"], "n", docs.count())
     return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def first_rows(df: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``df`` that ``firsts`` names by f.d (id) and f.t (the text's hash); of repeated rows one."""
+def first_rows(df: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` that ``firsts`` names by f.d (id) and f.t (the text's hash); of repeated rows one.
+
+    docs: (d, t) of all rows. Rows that go are taken off, as they are usually
+    few: only keys move if those are broadcast. Repeated rows that stay are
+    combined before their shuffle.
+    """
     key = df.select(F.struct("*").alias("row"), df[id_col].alias("d"), F.xxhash64(F.coalesce(df[text_col], F.lit(""))).alias("t"))
+    counts = docs.groupBy("d", "t").agg(F.count("*").alias("n"))
     kept = firsts.select(F.col("f.d").alias("kd"), F.col("f.t").alias("kt"))
-    met = key.join(kept, F.col("d").eqNullSafe(F.col("kd")) & (F.col("t") == F.col("kt")))
-    one = Window.partitionBy("d", "t").orderBy("t")  # repeated rows: any, as they are alike in id and text
-    return met.withColumn("i", F.row_number().over(one)).filter("i = 1").select("row.*")
+    stays = counts.join(kept, F.col("d").eqNullSafe(F.col("kd")) & (F.col("t") == F.col("kt")), "left")
+    other = cut(stays.filter("kt IS NULL OR n > 1").select(F.col("d").alias("od"), F.col("t").alias("ot"), F.col("kt").isNotNull().alias("again")))
+    met = key.join(few(other), F.col("d").eqNullSafe(F.col("od")) & (F.col("t") == F.col("ot")), "left")
+    single = met.filter("ot IS NULL").select("row.*")
+    return single.unionByName(met.filter("again").dropDuplicates(["d", "t"]).select("row.*"))  # any of rows alike in id and text
 
 
 def keep_firsts(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,4 +210,4 @@ def keep_firsts(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42
     named = _named(docs, distance, block, "d")
     order = F.struct(F.col("d").isNull().alias("n"), F.col("d"), F.col("t"))
     firsts = docs.groupBy("fp").agg(F.min(order).alias("f")).join(named, "fp").groupBy("root").agg(F.min("f").alias("f"))
-    return first_rows(df, firsts, id_col, text_col)
+    return first_rows(df, docs, firsts, id_col, text_col)
