@@ -20,14 +20,16 @@ ARROW_ROWS = "2000"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary folder
-    is made and set as the checkpoint folder.
+    Only where the session has none and runs on one machine (tests) a temporary
+    folder is made and set as the checkpoint folder; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not found:
         found = getattr(sc, "_llm_checkpoint_dir", None)
         if not found:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             found = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
             sc._llm_checkpoint_dir = found
             sc.setCheckpointDir(found)
@@ -52,7 +54,18 @@ def few(df: DataFrame, most: int = FEW) -> DataFrame:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder's name in the shared folder; ``clear_scratch`` removes those made so far."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    sc._llm_scratch = [*getattr(sc, "_llm_scratch", []), path]
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of all operators of a session, once their results are stored."""
+    for path in getattr(spark.sparkContext, "_llm_scratch", []):
+        remove_path(spark, path)
+    spark.sparkContext._llm_scratch = []
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
