@@ -39,6 +39,11 @@ def quaternion_matrix(w: Column, x: Column, y: Column, z: Column) -> list[Column
     return [1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w), 2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w), 2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]
 
 
+def transposed(r: list[Column]) -> list[Column]:
+    """Of nine numbers by rows."""
+    return [r[3 * j + i] for i in range(3) for j in range(3)]
+
+
 def opk_matrix(omega: Column, phi: Column, kappa: Column) -> list[Column]:
     """Rows of Rx(omega) Ry(phi) Rz(kappa), angles in radians."""
     so, co, sp, cp, sk, ck = F.sin(omega), F.cos(omega), F.sin(phi), F.cos(phi), F.sin(kappa), F.cos(kappa)

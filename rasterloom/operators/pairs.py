@@ -71,5 +71,7 @@ def merge_update(df: DataFrame, updates: DataFrame, key: str, columns: list[str]
 
 
 def missing(df: DataFrame, done: DataFrame, on: Column | list[str]) -> DataFrame:
-    """Rows without a partner in ``done``; repeated rows stay."""
+    """Rows without a partner in ``done``; repeated rows stay. Keys of ``done`` count once, so a frequent one costs a row; Spark splits its rows of ``df``."""
+    if isinstance(on, list):
+        done = done.select(*on).distinct()
     return df.join(done, on, "left_anti")

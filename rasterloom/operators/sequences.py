@@ -82,9 +82,11 @@ def pad_ends(df: DataFrame, key: str, t: str, v: str, lo: float, hi: float, step
     return df.select(key, t, v).unionByName(first).unionByName(last)
 
 
-def lagrange(points: DataFrame, samples: DataFrame, key: str, t: str, v: str) -> DataFrame:
-    """(key, t, v) by the polynomial through all samples of the key; meant for the eight that ``trim`` leaves."""
-    nodes = samples.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(t).alias("t"), F.col(v).alias("v")))).alias("_n"))
+def lagrange(points: DataFrame, samples: DataFrame, key: str, t: str, v: str, most: int = 16) -> DataFrame:
+    """(key, t, v) by the polynomial through all samples of the key; meant for the eight that ``trim`` leaves. A key with more than ``most`` is an error."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(t))
+    several = F.when(place <= most, F.col(v)).otherwise(F.raise_error(F.lit("too many samples for a polynomial")).cast("double"))
+    nodes = samples.withColumn(v, several).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(t).alias("t"), F.col(v).alias("v")))).alias("_n"))
     basis = lambda x: lambda p: F.aggregate(F.filter("_n", lambda q: q["t"] != p["t"]), p["v"].cast("double"), lambda acc, q: acc * (x - q["t"]) / (p["t"] - q["t"]))
     return points.join(nodes, key).select(key, t, F.aggregate(F.transform("_n", basis(F.col(t))), F.lit(0.0), lambda acc, x: acc + x).alias(v))
 

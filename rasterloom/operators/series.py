@@ -25,7 +25,7 @@ def gram(vectors: DataFrame, n: int, x: str = "x") -> np.ndarray:
     def run(batches):
         total = np.zeros((n, n))
         for b in batches:
-            m = np.array(b.column(0).to_pylist(), float).reshape(-1, n)
+            m = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)
             total += m.T @ m
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n * n), pa.int32()), pa.array(total.reshape(-1))], names=["i", "v"])
 
@@ -68,7 +68,10 @@ def pcaim(vectors: DataFrame, n: int, k: int, rounds: int = 100, close: float =
     if shared.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
-        shared.sparkContext.setCheckpointDir(shared.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="series-"))
+        folder, master = shared.conf.get("spark.checkpoint.dir", None), shared.sparkContext.master
+        if not folder and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="series-"))
     now = vectors.select(*[f.name for f in keep], "x", "w", F.col("x").alias("y")).to(schema).checkpoint()
     chis, v, s = [], np.zeros((n, 0)), np.zeros(0)
     for i in range(1, k + 1):
@@ -79,7 +82,7 @@ def pcaim(vectors: DataFrame, n: int, k: int, rounds: int = 100, close: float =
 
             def run(batches, p=p):
                 for b in batches:
-                    m = {f: np.array(b.column(b.schema.get_field_index(f)).to_pylist(), float).reshape(-1, n) for f in ("x", "w", "y")}
+                    m = {f: b.column(b.schema.get_field_index(f)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n) for f in ("x", "w", "y")}
                     back = m["y"] @ p
                     y = m["w"] * m["x"] + (1 - m["w"]) * back
                     cols = [pa.array(y.tolist(), pa.list_(pa.float64())) if f == "y" else b.column(f) for f in b.schema.names]
@@ -111,7 +114,7 @@ def ica(vectors: DataFrame, n: int, k: int, rounds: int = 200, close: float = 1e
         def run(batches):
             a, d = np.zeros((k, k)), np.zeros(k)
             for b in batches:
-                z = np.array(b.column(0).to_pylist(), float).reshape(-1, n) @ white.T
+                z = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n) @ white.T
                 u = z @ w.T
                 e = np.exp(-u * u / 2)
                 a += (u * e).T @ z

@@ -414,10 +414,10 @@ def self_pairs(spark, sf):
 COMBO_SIDE = "SELECT a.s_nationkey, a.s_suppkey AS i0, b.s_suppkey AS i1, c.s_suppkey AS i2, d.s_suppkey AS i3 FROM {x} a JOIN {x} b ON a.s_nationkey=b.s_nationkey AND a.s_suppkey<>b.s_suppkey JOIN {y} c ON a.s_nationkey=c.s_nationkey JOIN {y} d ON a.s_nationkey=d.s_nationkey AND c.s_suppkey<d.s_suppkey"
 
 
-@query("WITH r AS (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier), a AS (SELECT * FROM r WHERE r <= 2), z AS (SELECT * FROM r WHERE r IN (3, 4)) " + COMBO_SIDE.format(x="a", y="z") + " UNION ALL " + COMBO_SIDE.format(x="z", y="a"))
+@query("WITH a AS (SELECT * FROM supplier WHERE s_acctbal < 4500), z AS (SELECT * FROM supplier WHERE s_acctbal >= 4500) " + COMBO_SIDE.format(x="a", y="z") + " UNION ALL " + COMBO_SIDE.format(x="z", y="a"))
 def three_d_combos(spark, sf):
-    r = t(spark, sf, "supplier").withColumn("r", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")))
-    return pairs.three_d_combinations(r.filter("r <= 2"), r.filter("r IN (3, 4)"), "s_nationkey", "s_suppkey")
+    s = t(spark, sf, "supplier")
+    return pairs.three_d_combinations(s.filter("s_acctbal < 4500"), s.filter("s_acctbal >= 4500"), "s_nationkey", "s_suppkey")
 
 
 @query("SELECT o_orderkey AS base, o_custkey AS target FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F'")
@@ -467,10 +467,10 @@ def tile_extents(spark, sf):
     return p.select("p_partkey", F.inline(raster.tile_extents(p.p_size + 20, p.p_size * 2, 16)))
 
 
-@query(f"WITH {PX}, s AS (SELECT row, col, row + 0.25e0 AS y, col + 0.5e0 AS x FROM px WHERE row % 2 = 0), n AS (SELECT s.row, s.col, (CASE WHEN i=0 THEN 0.5e0 ELSE 0.5e0 END)*(CASE WHEN j=0 THEN 0.75e0 ELSE 0.25e0 END) AS w, px.value FROM s, unnest([0,1]) AS a(i), unnest([0,1]) AS b(j) LEFT JOIN px ON px.row = s.row + j AND px.col = s.col + i) SELECT row, col, round(CASE WHEN count(*) = count(value) THEN sum(w*value) END,6) AS value FROM n GROUP BY 1, 2")
+@query(f"WITH {PX}, s AS (SELECT row, col, row + 0.25e0 AS y, col + 0.5e0 AS x FROM px), n AS (SELECT s.row, s.col, (CASE WHEN i=0 THEN 0.5e0 ELSE 0.5e0 END)*(CASE WHEN j=0 THEN 0.75e0 ELSE 0.25e0 END) AS w, px.value FROM s, unnest([0,1]) AS a(i), unnest([0,1]) AS b(j) LEFT JOIN px ON px.row = s.row + j AND px.col = s.col + i) SELECT row, col, round(CASE WHEN count(*) = count(value) THEN sum(w*value) END,6) AS value FROM n GROUP BY 1, 2")
 def bilinear_resample(spark, sf):
     px = pixels(spark, sf)
-    at = px.filter("row % 2 = 0").select("row", "col", (F.col("col") + 0.5).alias("x"), (F.col("row") + 0.25).alias("y"))
+    at = px.select("row", "col", (F.col("col") + 0.5).alias("x"), (F.col("row") + 0.25).alias("y"))
     out = raster.bilinear(at.withColumnsRenamed({"row": "r", "col": "c"}), px, ["r", "c"], "x", "y")
     return out.select(F.col("r").alias("row"), F.col("c").alias("col"), F.round("value", 6).alias("value"))
 
@@ -495,12 +495,11 @@ def mask_min_count(spark, sf):
     return raster.valid_at_least(cube(spark, sf), 20, 40.0)
 
 
-@query(f"WITH {CUBE}, g AS (SELECT u AS row, d AS col FROM unnest(range(0, 200)) AS a(u), unnest(range(0, 31)) AS b(d)) SELECT CAST(g.row AS INT) AS row, CAST(g.col AS INT) AS col, round(value,6) AS value FROM g LEFT JOIN cube ON cube.row = g.row AND cube.t = g.col")
+@query(f"WITH {CUBE}, g AS (SELECT u AS row, d AS col FROM unnest(range(0, (SELECT max(row) + 1 FROM cube))) AS a(u), unnest(range(0, (SELECT max(t) + 1 FROM cube))) AS b(d)) SELECT CAST(g.row AS INT) AS row, CAST(g.col AS INT) AS col, round(value,6) AS value FROM g LEFT JOIN cube ON cube.row = g.row AND cube.t = g.col")
 def border_fill(spark, sf):
-    # at least the SQL's 200 rows and 31 columns, more where the table has more
     px = cube(spark, sf).select("row", F.col("t").alias("col"), "value")
     most = px.agg(F.max("row").alias("row"), F.max("col").alias("col")).first()
-    rows, cols = max(200, (most.row or 0) + 1), max(31, (most.col or 0) + 1)
+    rows, cols = (0, 0) if most.row is None else (most.row + 1, most.col + 1)
     return rounded(raster.fill_grid(px, rows, cols), value=F.col("value"))
 
 
@@ -560,11 +559,10 @@ def pcaim_gram(spark, sf):
     return rounded(series.gram_table(cube(spark, sf).filter("t <= 30"), ["row", "col"]), 4, g=F.col("g"))
 
 
-@query(f"WITH {CUBE}, n AS (SELECT t, count(value) AS n FROM cube GROUP BY 1) SELECT t, 150 - n AS n_missing, round(pow(n / 150e0, 2) / max(pow(n / 150e0, 2)) OVER (), 6) AS weight FROM n")
+@query(f"WITH {CUBE}, n AS (SELECT t, count(value) AS n FROM cube GROUP BY 1), p AS (SELECT count(DISTINCT row) AS p FROM cube) SELECT t, p - n AS n_missing, round(pow(n / (p * 1e0), 2) / max(pow(n / (p * 1e0), 2)) OVER (), 6) AS weight FROM n, p")
 def slice_weights(spark, sf):
-    # at least the SQL's 150 pixels, more where the table has more
     c = cube(spark, sf)
-    return rounded(series.slice_weights(c, max(150, c.select("row", "col").distinct().count()), 2.0), weight=F.col("weight"))
+    return rounded(series.slice_weights(c, c.select("row", "col").distinct().count(), 2.0), weight=F.col("weight"))
 
 
 @query()

@@ -1 +1 @@
-"""Streaming of the displacement engine."""
+"""Streams of acquisitions and measures."""
