@@ -13,7 +13,7 @@ from .kernels import tiff
 from .operators import batch, ortho
 from .plans import correlation, event
 from .sources import metadata, rasters
-from .sources.rpc import parse_rpc
+from .sources.rpc import load_rfm
 from .sources.text_sinks import expand_images
 from .sources.text_tables import correlation_name
 
@@ -74,8 +74,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def transform(a) -> dict:
-    with open(a.model, encoding="utf-8") as f:
-        m = parse_rpc(f.read())
+    m = load_rfm(a.model)
     x, y = np.array(a.x), np.array(a.y)
     alt = np.array(a.alt) if a.alt else np.full(len(x), m.scalars["HEIGHT_OFF"])
     if a.inv:
@@ -138,9 +137,7 @@ def main(argv: list[str] | None = None) -> object:
             if a.sensor:
                 g, px = ortho.ortho_rsm(spark, raw, metadata.build(a.model, a.sensor), a.gsd, dem, method=a.resampling)
             else:
-                with open(a.model, encoding="utf-8") as f:
-                    m = parse_rpc(f.read())
-                g, px = ortho.ortho_rfm(spark, raw, m, im.width, im.height, a.gsd, dem, method=a.resampling)
+                g, px = ortho.ortho_rfm(spark, raw, load_rfm(a.model), im.width, im.height, a.gsd, dem, method=a.resampling)
             name = f"ORTHO_{os.path.splitext(os.path.basename(path))[0]}"
             out = px.select(F.lit(name).alias("raster_id"), F.lit(1).alias("band"), "row", "col", "value")
             made.append(rasters.write_rasters(rasters.tiles_of(out, 256), a.out, "uint16", g.transform, g.epsg, 0).first().path)

@@ -44,7 +44,7 @@ def patches(gcps: DataFrame, transform: tuple[float, ...], width: int, height: i
 def moved(gcps: DataFrame, shifts: DataFrame, gsd: float) -> DataFrame:
     """Points with map coordinates changed by measured shifts (gcp_id, dx, dy in pixels, snr); their weight is the snr.
 
-    Points whose shift has an snr of 0 or is missing stay as they are.
+    Points whose shift has an snr of 0 or is missing stay in place.
     """
     x, y = checks.updated(F.col("x_map"), F.col("dx") * gsd, F.col("snr")), checks.updated(F.col("y_map"), -F.col("dy") * gsd, F.col("snr"))
     new = gcps.join(shifts, "gcp_id").select("gcp_id", x.alias("x_map"), y.alias("y_map"), F.col("snr").alias("weight"), "epsg")

@@ -53,8 +53,8 @@ def map_grid(ground: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]],
     x, y = geo.to_utm(lon, lat, zone, north)
     if res is None:
         res = min(step_of(ground, width, height, zone, north))
-    left, top, right, bottom = snapped(x.min(), y.max(), x.max(), y.min(), res)
-    return Grid(left, top, res, int(round((right - left) / res)) + 1, int(round((top - bottom) / res)) + 1, (32600 if north else 32700) + zone)
+    left, top, right, bottom = (float(v) for v in snapped(x.min(), y.max(), x.max(), y.min(), res))
+    return Grid(left, top, float(res), int(round((right - left) / res)) + 1, int(round((top - bottom) / res)) + 1, (32600 if north else 32700) + zone)
 
 
 def step_of(ground, width: int, height: int, zone: int, north: bool) -> tuple[float, float]:
@@ -221,3 +221,17 @@ def transformer(kind: str, m: Rfm | None = None):
     if kind == "rfm" and m is not None:
         return (lambda lon, lat, alt=None: rfm.ground_to_image(m, lon, lat, alt)), (lambda c, r, alt: rfm.invert(m, c, r, alt))
     raise ValueError("kind is identity, or rfm with a model")
+
+
+def orthorectify(spark: SparkSession, raw: DataFrame, m: Rfm | Sensor, width: int, height: int, res: float | None = None, dem: tuple[DataFrame, tuple, int] | None = None, correction=None, method: str = "sinc", gcps: DataFrame | None = None, loops: int = 3) -> tuple[Grid, DataFrame]:
+    """An ortho image by whichever model; control points of a rigorous one first refine its correction."""
+    if isinstance(m, Sensor):
+        if gcps is not None:
+            from . import gcps as control
+            from .sensors import tables
+
+            lines, cols = tables(spark, "model", m)
+            gsd = min(step_of(lambda c, r: pushbroom.to_ground(m, c, r), width, height, gcps.first().epsg % 100, gcps.first().epsg < 32700))
+            correction, _, _ = control.refine(gcps, lines, cols, "model", lambda g, c, loop: control.rsm_shifts(g, m, c, loop), gsd, loops)
+        return ortho_rsm(spark, raw, m, res, dem, correction, method)
+    return ortho_rfm(spark, raw, m, width, height, res, dem, correction, method)

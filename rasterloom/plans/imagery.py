@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geodesy, vectors
 from ..kernels import pushbroom
 from ..operators import displacement, gcps, ortho, sensors, splines
+from ..sources import rasters
 from . import correlation
 from .catalogue import LAT, LON, MODEL, PX, _series, pixels, points, query, rounded, t
 
@@ -186,3 +187,104 @@ def ortho_rfm(spark, sf):
     raw = pixels(spark, sf)
     g, out = ortho.ortho_rfm(spark, raw, MODEL, 6000, 6000, 600.0)
     return rounded(out, 4, x=F.col("x"), y=F.col("y"), value=F.col("value"))
+
+
+def _folder(spark) -> str:
+    """A new folder that driver and executors share: under the checkpoint folder, or on one machine a temporary one."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared and not shared.startswith("file:") and "://" in shared:
+        raise RuntimeError("raster files need a folder mounted on all machines")
+    return f"{shared.split(':', 1)[-1].replace('//', '/')}/rasters-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="rasters-")
+
+
+@query(f"WITH {PX} SELECT row, col, 1 AS band, round(value, 5) AS value FROM px WHERE row BETWEEN 10 AND 300 AND col BETWEEN 3 AND 50")
+def raster_files(spark, sf):
+    """Pixels written as a TIFF file, and a window of it read again: whole tiles are read, the rest is cut."""
+    px = pixels(spark, sf).select(F.lit("image").alias("raster_id"), F.lit(1).alias("band"), "row", "col", "value")
+    path = rasters.write_rasters(rasters.tiles_of(px, 64), _folder(spark), "float64", (0.0, 1.0, 0.0, 0.0, 0.0, -1.0), 32636).first().path
+    back = rasters.pixels(rasters.read_tiles(spark, path, 64, (3, 50, 10, 300)))
+    return back.select("row", "col", "band", F.round("value", 5).alias("value"))
+
+
+@query(f"WITH {PX} SELECT row, col, round(value, 5) AS ew, round(value * 2, 5) AS ns, round(abs(value), 5) AS snr FROM px WHERE row < 100")
+def correlation_files(spark, sf):
+    """A correlation's three bands through a file."""
+    px = pixels(spark, sf).filter("row < 100").select(F.lit("c").alias("raster_id"), F.posexplode(F.array("value", F.col("value") * 2, F.abs("value"))).alias("b", "v"), "row", "col")
+    tiles = rasters.tiles_of(px.select("raster_id", (F.col("b") + 1).alias("band"), "row", "col", F.col("v").alias("value")), 64)
+    path = rasters.write_rasters(tiles, _folder(spark), "float64", descriptions=["East/West", "North/South", "SNR"]).first().path
+    return rounded(rasters.correlation_product(rasters.pixels(rasters.read_tiles(spark, path))), 5, ew=F.col("ew"), ns=F.col("ns"), snr=F.col("snr")).drop("raster_id")
+
+
+@query("SELECT n_nationkey AS k, ceil((300007 + n_nationkey) / 10e0) * 10 AS grid_left, floor((4600011 - n_nationkey * 3) / 10e0) * 10 AS grid_top, CAST((floor((300007 + n_nationkey + 198) / 10e0) - ceil((300007 + n_nationkey) / 10e0)) + 1 AS INT) AS cols, CAST((floor((4600011 - n_nationkey * 3) / 10e0) - ceil((4600011 - n_nationkey * 3 - 158) / 10e0)) + 1 AS INT) AS rows, 32636 AS epsg FROM nation")
+def map_grid(spark, sf):
+    """Snapped output grids of images whose corners lie on known map places."""
+    from ..kernels import geodesy as geo
+
+    def one(k: int):
+        ground = lambda c, r: geo.from_utm(300007 + k + 2 * c, 4600011 - 3 * k - 2 * r, 36, True)
+        g = ortho.map_grid(ground, 100, 80, 10.0)
+        return k, round(g.left, 3), round(g.top, 3), g.cols, g.rows, g.epsg
+
+    keys = [r.n_nationkey for r in t(spark, sf, "nation").select("n_nationkey").collect()]
+    return spark.createDataFrame([one(k) for k in keys], "k int, grid_left double, grid_top double, cols int, rows int, epsg int")
+
+
+@query("SELECT p_partkey, true AS on_surface FROM part")
+def ground_on_terrain(spark, sf):
+    """Pixels to the ground on a sloping surface by rounds of heights: each point ends on it."""
+    p = t(spark, sf, "part").select("p_partkey", F.expr("p_partkey * 0.37e0 % 299").alias("x"), F.expr("p_retailprice % 399").alias("y"))
+    slope = lambda lat: 100 + (lat - 41) * 2000
+    out = sensors.to_ground_on(p, model(), lambda d: d.withColumn("height", slope(F.col("lat"))), "x", "y")
+    return out.select("p_partkey", (F.abs(F.col("alt") - slope(F.col("lat"))) < 0.1).alias("on_surface"))
+
+
+@cache
+def _plane():
+    """A raw image of a plane in map coordinates through a model, and the grid of its ortho image."""
+    from ..kernels import geodesy as geo
+
+    m = model(120, 90)
+    r, c = np.mgrid[0:120, 0:90]
+    lon, lat, _ = pushbroom.to_ground(m, c.ravel(), r.ravel(), 0.0)
+    e, n = geo.to_utm(lon, lat, 36, True)
+    image = ((e - 300000) / 1e4 + (n - 4500000) / 1e4).reshape(120, 90)
+    return image, ortho.map_grid(lambda x, y: pushbroom.to_ground(m, x, y, 0.0), 90, 120, 60.0)
+
+
+_G = _plane()[1]
+
+
+@query(f"SELECT CAST(i AS INT) AS row, CAST(j AS INT) AS col, round(({float(_G.left)!r} + (j + 0.5e0) * 60 - 300000) / 1e4 + ({float(_G.top)!r} - (i + 0.5e0) * 60 - 4500000) / 1e4, 3) AS value FROM unnest(range({_G.rows // 2 - 5}, {_G.rows // 2 + 5})) AS a(i), unnest(range({_G.cols // 2 - 5}, {_G.cols // 2 + 5})) AS b(j)")
+def ortho_rsm(spark, sf):
+    """An ortho image by a push-broom model: the middle of a plane comes back as that plane."""
+    image, g = _plane()
+    raw = spark.createDataFrame([(r, c, float(image[r, c])) for r in range(120) for c in range(90)], "row int, col int, value double")
+    _, out = ortho.ortho_rsm(spark, raw, model(120, 90), 60.0)
+    mid = out.filter(F.col("row").between(g.rows // 2 - 5, g.rows // 2 + 4) & F.col("col").between(g.cols // 2 - 5, g.cols // 2 + 4))
+    return mid.select("row", "col", F.round("value", 3).alias("value"))
+
+
+@query("SELECT CAST(vec_id AS INT) AS row, CAST(i AS INT) AS col, 2e0 AS ew, 1e0 AS ns, 0.5e0 AS dz FROM embeddings, unnest(range(0, 4)) AS r(i)")
+def three_d_job(spark, sf):
+    """Three displacement maps of one grid joined by pixel, with heights and raw lines looked up, to a 3-D displacement."""
+    at = t(spark, sf, "embeddings").select(F.col("vec_id").cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("col"))
+    maps = {n: at.select("row", "col", F.lit(e).alias("ew"), F.lit(v).alias("ns")) for n, e, v in (("pre", 0.0, 0.0), ("post1", 2.0, -1.0), ("post2", 2.0, -1.0))}
+    lines = {n: at.select("row", "col", (F.col("row") % 390 + 0.5).alias("line")) for n in displacement.NAMES}
+    # a surface whose height at a moved point is half a metre more
+    heights = lambda d: d.withColumn("height", 500.0 + F.when(F.abs(F.col("_x") - F.col("x")) > 1, 0.5).otherwise(0.0))
+    df = displacement.combination(maps, (330000.0, 4.0, 0.0, 4560000.0, 0.0, -4.0), heights, lines)
+    out = displacement.displacement(df, [model(tilt=v).position for v in (0.0, 0.3, -0.2, 0.25)], 32636)
+    return out.select("row", "col", *[F.round(c, 3).alias(c) for c in ("ew", "ns", "dz")])
+
+
+@query("SELECT s_suppkey AS ref_x, CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal ELSE s_acctbal - 0.25e0 * 5 END AS x_map, CASE WHEN s_suppkey % 3 = 0 THEN 0e0 ELSE 0.8e0 END AS weight FROM supplier")
+def gcp_update(spark, sf):
+    """Control points moved by measured shifts; without a measure they stay, of no weight."""
+    s = t(spark, sf, "supplier")
+    points_ = s.select(s.s_suppkey.cast("string").alias("gcp_id"), s.s_acctbal.alias("x_map"), F.lit(4560000.0).alias("y_map"), F.lit(1.0).alias("weight"), F.lit(31.0).alias("lon"), F.lit(41.0).alias("lat"), F.lit(32636).alias("epsg"))
+    shifts = s.select(s.s_suppkey.cast("string").alias("gcp_id"), F.lit(0.25).alias("dx"), F.lit(0.0).alias("dy"), F.when(s.s_suppkey % 3 == 0, 0.0).otherwise(0.8).alias("snr"))
+    out = gcps.moved(points_, shifts, 5.0)
+    return out.select(F.col("gcp_id").cast("long").alias("ref_x"), "x_map", "weight")

@@ -115,14 +115,21 @@ def pixels(tiles: DataFrame) -> DataFrame:
 
 
 def tiles_of(px: DataFrame, size: int) -> DataFrame:
-    """Tiles of a table of pixels; pixels that it lacks are null. A tile's pixels meet in one row."""
-    at = F.struct(((F.col("row") % size) * size + F.col("col") % size).alias("i"), "value", "row", "col")
-    dealt = px.groupBy("raster_id", "band", F.floor(F.col("row") / size).cast("int").alias("tile_row"), F.floor(F.col("col") / size).cast("int").alias("tile_col"))
-    got = dealt.agg(F.collect_list(at).alias("p"), F.min("row").alias("row0"), F.min("col").alias("col0"), F.max("row").alias("r1"), F.max("col").alias("c1"))  # size * size pixels at most
-    lookup = F.map_from_entries(F.transform("p", lambda x: F.struct(((x["row"] - F.col("row0")) * F.col("n_cols") + x["col"] - F.col("col0")).alias("k"), x["value"].alias("v"))))
-    shaped = got.withColumns({"n_rows": (F.col("r1") - F.col("row0") + 1).cast("int"), "n_cols": (F.col("c1") - F.col("col0") + 1).cast("int")})
-    data = F.transform(F.sequence(F.lit(0), F.col("n_rows") * F.col("n_cols") - 1), lambda k: F.col("m")[k])
-    return shaped.withColumn("m", lookup).select("raster_id", "band", "tile_row", "tile_col", "row0", "col0", "n_rows", "n_cols", data.alias("data"))
+    """Tiles of a table of pixels; pixels that it lacks are null. A tile's pixels meet in one task, at most size * size of them."""
+    at = [F.floor(F.col(c) / size).cast("int").alias(f"tile_{c}") for c in ("row", "col")]
+
+    def run(t: pa.Table) -> pa.Table:
+        r, c = t.column("row").to_numpy(), t.column("col").to_numpy()
+        r0, c0 = int(r.min()), int(c.min())
+        h, w = int(r.max()) - r0 + 1, int(c.max()) - c0 + 1
+        image = np.full((h, w), np.nan)
+        image[r - r0, c - c0] = t.column("value").to_numpy()
+        data = pa.ListArray.from_arrays(pa.array([0, h * w], pa.int32()), pa.array(image.ravel(), mask=np.isnan(image.ravel())))
+        whole = [t.column(k)[0].as_py() for k in ("band", "tile_row", "tile_col")] + [r0, c0, h, w]
+        return pa.table([pa.array([t.column("raster_id")[0].as_py()]), *[pa.array([v], pa.int32()) for v in whole], data], names=["raster_id", "band", "tile_row", "tile_col", "row0", "col0", "n_rows", "n_cols", "data"])
+
+    dealt = px.select("raster_id", F.col("band").cast("int").alias("band"), *at, "row", "col", F.col("value").cast("double").alias("value"))
+    return dealt.groupBy("raster_id", "band", "tile_row", "tile_col").applyInArrow(run, TILES)
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:

@@ -35,6 +35,43 @@ def parse_rpc(text: str) -> Rfm:
     return Rfm({k: found[k] for k in SCALARS}, *(tuple(found[f"{v}_{i}"] for i in range(1, 21)) for v in VECTORS))
 
 
+def from_tag(values: list[float]) -> Rfm:
+    """A model from an image's RPC tag: two errors, the offsets and scales, then the four vectors."""
+    if values is None or len(values) < 92:
+        raise ValueError("the image has no RPC tag of 92 numbers")
+    v = [float(x) for x in values]
+    return Rfm(dict(zip(SCALARS, v[2:12], strict=True)), *(tuple(v[12 + 20 * i : 32 + 20 * i]) for i in range(4)))
+
+
+def from_metadata(tags: dict[str, str]) -> Rfm:
+    """A model from named texts, the vectors as 20 numbers with spaces between."""
+    try:
+        vectors = [tuple(float(x) for x in tags[k].split()) for k in VECTORS]
+        scalars = {k: float(tags[k].split()[0]) for k in SCALARS}
+    except KeyError as e:
+        raise ValueError(f"the metadata lack {e.args[0]}") from e
+    if any(len(x) != 20 for x in vectors):
+        raise ValueError("a vector of the metadata hasn't 20 numbers")
+    return Rfm(scalars, *vectors)
+
+
+def load_rfm(path: str) -> Rfm:
+    """By the file's extension: TIFF images by their tag, RPC XML and RPB aren't read, anything else is RPC text."""
+    end = path.lower().rsplit(".", 1)[-1]
+    if end in ("xml", "rpb"):
+        raise NotImplementedError(f"models in {end} files aren't read")
+    try:
+        if end in ("tif", "tiff"):
+            from ..kernels import tiff
+
+            with open(path, "rb") as f:
+                return from_tag(tiff.header(f).rpc)
+        with open(path, encoding="utf-8") as f:
+            return parse_rpc(f.read())
+    except (OSError, ValueError) as e:
+        raise OSError(f"no model in {path}: {e}") from e
+
+
 def rpc_entries(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """(key, idx, coeff) of a table of RPC lines: scalars have idx 0, vectors 1 to 20; other lines are dropped."""
     m = F.regexp_extract(line_col, r"^\s*([A-Z_]+?)(?:_(\d+))?\s*:\s*([-+0-9.eE]+)", 0)

@@ -162,3 +162,24 @@ def test_correlation_product(spark, tmp_path):
     (tmp_path / "c.tif").write_bytes(tiff.encode(list(image)))
     got = rasters.correlation_product(rasters.pixels(rasters.read_tiles(spark, str(tmp_path / "c.tif")))).filter("row = 1 AND col = 2").first()
     assert (got.ew, got.ns, got.snr) == (image[0, 1, 2], image[1, 1, 2], image[2, 1, 2])
+
+
+def test_models_by_extension(tmp_path):
+    from rasterloom.sources import rpc
+    from rasterloom.sources.sample_rpc import RPC_TEXT
+
+    want = rpc.parse_rpc(RPC_TEXT)
+    (tmp_path / "a.TXT").write_text(RPC_TEXT)
+    assert rpc.load_rfm(str(tmp_path / "a.TXT")) == want
+    flat = [0.0, 0.0, *(want.scalars[k] for k in rpc.SCALARS), *want.line_num, *want.line_den, *want.samp_num, *want.samp_den]
+    assert rpc.from_tag(flat) == want
+    texts = {k: str(v) for k, v in want.scalars.items()} | {k: " ".join(map(repr, v)) for k, v in zip(rpc.VECTORS, (want.line_num, want.line_den, want.samp_num, want.samp_den))}
+    assert rpc.from_metadata(texts) == want
+    (tmp_path / "b.tif").write_bytes(tiff.encode([np.zeros((3, 3), "uint8")]))
+    for bad in ("b.tif", "none.txt"):
+        with pytest.raises(OSError):
+            rpc.load_rfm(str(tmp_path / bad))
+    with pytest.raises(NotImplementedError):
+        rpc.load_rfm("x.rpb")
+    with pytest.raises(ValueError):
+        rpc.from_metadata({})
