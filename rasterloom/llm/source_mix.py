@@ -74,16 +74,15 @@ def placed(sized: DataFrame, goals: DataFrame) -> DataFrame:
     sized: a table (doc_id, source, size, ...). goals: as of ``targets``.
     """
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    keyed = sized.withColumn("h", h).withColumn("r", F.substring("h", 1, 3))
-    sums = keyed.groupBy("source", "r").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("source").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    base = base.join(goals.withColumnRenamed("source", "g"), F.col("source").eqNullSafe(F.col("g"))).drop("g")
-    base = base.withColumnsRenamed({"source": "s", "r": "q"})
-    inner = Window.partitionBy("source", "r").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    summed = keyed.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    joined = summed.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("r") == F.col("q")))
-    return joined.withColumn("start", F.col("base") + F.col("inside")).drop("s", "q", "base", "inside", "r")
+    by = ["_z", "_s", "_r"]  # of a null source too, so that window and join deal rows alike and wide rows move once
+    named = lambda d: d.withColumns({"_z": F.col("source").isNull(), "_s": F.coalesce("source", F.lit(""))})
+    keyed = named(sized).withColumn("h", h).withColumn("_r", F.substring("h", 1, 3))
+    sums = keyed.groupBy(*by).agg(F.sum("size").alias("n"))
+    before = Window.partitionBy("_z", "_s").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n").join(named(goals).drop("source"), ["_z", "_s"])
+    inner = Window.partitionBy(*by).orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    joined = keyed.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(base, by)
+    return joined.withColumn("start", F.col("base") + F.col("inside")).drop(*by, "base", "inside")
 
 
 def position(share: Column, knots: Knots) -> Column:
