@@ -13,7 +13,8 @@ Defined results: a null text or one without a letter is ``und`` with score 0.
 Rows are independent of each other, so repeated rows get the same label; rows
 with a null label or no letters teach nothing. With no labelled rows at all
 every text is ``und``. Scores are the share of letters in spans of the
-predicted language.
+predicted language. Very long texts are labelled whole, their words one after the
+other. Columns other than the id and the text take no part.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ links are a table, and components are found in it without the driver.
 
 Defined results: a null, empty or blank text has fingerprint 0 and is linked
 as any other. Repeated rows have equal fingerprints and so one component. A
-component's id is the smallest non-null id in it (null if all are). An empty
+component's id is the smallest non-null id in it (null if all are). Very long
+texts are fingerprinted whole, with sums over 8,192 hashes at a time. An empty
 table gives an empty result.
 """
 

@@ -20,7 +20,8 @@ source with a third of all rows is spread over all tasks.
 Defined results: a null text has size 0; a source of no words has target 0.
 Null sources come last in the order of code points. Null ids are allowed;
 rows that are alike in id, source and size are interchangeable, and each gets
-its own share. An empty table gives an empty result.
+its own share. Very long texts are counted whole and taken as any other. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
