@@ -59,6 +59,12 @@ def box_inside(lo: Column, hi: Column, size: Column, margin: int) -> Column:
     return (F.floor(lo) - margin >= 0) & (F.ceil(hi) + margin <= size - 1)
 
 
+def subset_of_bounds(lo: Column, hi: Column, origin: Column, pixel: Column, size: Column, margin: int) -> Column:
+    """Struct lo, hi: pixels of an axis that map bounds with a margin cover, clamped to it; null if they lie beside it. pixel: the signed step."""
+    a, b = (lo - origin) / pixel, (hi - origin) / pixel
+    return subset_extent(F.least(a, b), F.greatest(a, b), size, margin)
+
+
 def builder(sensor: Column) -> Column:
     """The model builder of a sensor, null if there is none."""
     out = F.lit(None).cast("string")

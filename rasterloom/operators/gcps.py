@@ -82,3 +82,45 @@ def rsm_shifts(gcps: DataFrame, m: Sensor, correction: np.ndarray, loop: int) ->
 
     at = to_pixel(gcps, m, correction=correction)
     return at.select("gcp_id", (F.col("col") - F.col("xPix")).alias("dx"), (F.col("line") - F.col("yPix")).alias("dy"), F.when(F.col("col").isNotNull(), F.lit(1.0)).otherwise(0.0).alias("snr"))
+
+
+def patch_grids(gcps: DataFrame, size: int, res: float) -> DataFrame:
+    """(gcp_id, row, col, east, north, lon, lat, alt): the pixels' centres of a square patch of the map about each point."""
+    i = F.sequence(F.lit(0), F.lit(size - 1))
+    at = gcps.select("gcp_id", "x_map", "y_map", "alt", "epsg", F.explode(i).alias("row")).select("*", F.explode(i).alias("col"))
+    at = at.withColumns({"east": F.col("x_map") + (F.col("col") - (size - 1) / 2) * res, "north": F.col("y_map") - (F.col("row") - (size - 1) / 2) * res})
+    lon, lat = geodesy.from_utm(F.col("east"), F.col("north"), F.col("epsg") % 100, F.col("epsg") < 32700)
+    return at.select("gcp_id", "row", "col", "east", "north", lon.alias("lon"), lat.alias("lat"), "alt")
+
+
+def patch_orthos(gcps: DataFrame, m: Sensor, raw: DataFrame, size: int, res: float, correction: np.ndarray | None = None) -> DataFrame:
+    """(gcp_id, row, col, value): patches of the raw image rectified by its model at the points' heights."""
+    from .raster import bilinear
+    from .sensors import to_pixel
+
+    at = patch_grids(gcps, size, res).withColumnsRenamed({"row": "r", "col": "c"})
+    placed = to_pixel(at, m, correction=correction)
+    got = bilinear(placed.filter("col IS NOT NULL").select("gcp_id", "r", "c", F.col("col").alias("x"), F.col("line").alias("y")), raw, ["gcp_id", "r", "c"], "x", "y")
+    return got.select("gcp_id", F.col("r").alias("row"), F.col("c").alias("col"), "value")
+
+
+def reference_patches(gcps: DataFrame, ref: DataFrame, transform: tuple[float, ...], size: int, res: float) -> DataFrame:
+    """(gcp_id, row, col, value): the same patches of the georeferenced image."""
+    from .raster import bilinear
+
+    x0, dx, _, y0, _, dy = transform
+    at = patch_grids(gcps, size, res).select("gcp_id", F.col("row").alias("r"), F.col("col").alias("c"), ((F.col("east") - x0) / dx - 0.5).alias("x"), ((F.col("north") - y0) / dy - 0.5).alias("y"))
+    return bilinear(at, ref, ["gcp_id", "r", "c"], "x", "y").select("gcp_id", F.col("r").alias("row"), F.col("c").alias("col"), "value")
+
+
+def patch_shifts(gcps: DataFrame, m: Sensor, correction: np.ndarray | None, raw: DataFrame, ref: DataFrame, transform: tuple[float, ...], window: int, res: float) -> DataFrame:
+    """(gcp_id, dx, dy, snr): shift of each point's raw patch against the reference, by correlation of windows; points whose patch has a hole have an snr of 0."""
+    from .correlate import correlate
+
+    base, target = (d.withColumnRenamed("value", n) for d, n in ((reference_patches(gcps, ref, transform, window, res), "base"), (patch_orthos(gcps, m, raw, window, res, correction), "target")))
+    both = base.join(target, ["gcp_id", "row", "col"]).filter("base IS NOT NULL AND target IS NOT NULL")
+    held = both.groupBy("gcp_id").agg(F.sort_array(F.collect_list(F.struct("row", "col", "base", "target"))).alias("p")).filter(F.size("p") == window * window)  # a window of pixels
+    tiles = held.select(F.xxhash64("gcp_id").alias("pair_id"), F.lit(0).alias("row0"), F.lit(0).alias("col0"), F.lit(window).alias("height"), F.col("p.base").alias("base"), F.col("p.target").alias("target"))
+    found = correlate(tiles, "frequency", window, window).select("pair_id", "dx", "dy", "snr")
+    named = gcps.select("gcp_id", F.xxhash64("gcp_id").alias("pair_id")).join(found, "pair_id", "left")
+    return named.select("gcp_id", "dx", "dy", F.coalesce("snr", F.lit(0.0)).alias("snr"))

@@ -90,6 +90,19 @@ def subset_extent(spark, sf):
     return e.select("user_id", checks.subset_extent(F.col("a"), F.col("b"), F.lit(60), 15).alias("s")).select("user_id", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"))
 
 
+_LO, _HI = "((s_acctbal - 1000) / 25e0)", "((s_acctbal + 300 - 1000) / 25e0)"
+
+
+@query(f"WITH q AS (SELECT s_suppkey, greatest(CAST(floor({_LO}) AS BIGINT) - 2, 0) AS lo, least(CAST(ceil({_HI}) AS BIGINT) + 2, 199) AS hi, greatest(CAST(floor((6000 - (s_acctbal + 300)) / 25e0) AS BIGINT) - 2, 0) AS lo2, least(CAST(ceil((6000 - s_acctbal) / 25e0) AS BIGINT) + 2, 299) AS hi2 FROM supplier) SELECT s_suppkey, CASE WHEN lo <= hi THEN lo END AS lo, CASE WHEN lo <= hi THEN hi END AS hi, CASE WHEN lo2 <= hi2 THEN lo2 END AS lo2, CASE WHEN lo2 <= hi2 THEN hi2 END AS hi2 FROM q")
+def dem_subset(spark, sf):
+    """Columns and rows of an elevation raster that a box needs; rows run against the map."""
+    s = t(spark, sf, "supplier")
+    lo, hi = s.s_acctbal, s.s_acctbal + 300
+    x = checks.subset_of_bounds(lo, hi, F.lit(1000.0), F.lit(25.0), F.lit(200), 2)
+    y = checks.subset_of_bounds(lo, hi, F.lit(6000.0), F.lit(-25.0), F.lit(300), 2)
+    return s.select("s_suppkey", x.alias("x"), y.alias("y")).select("s_suppkey", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"), F.col("y.lo").alias("lo2"), F.col("y.hi").alias("hi2"))
+
+
 _SENSOR = "CASE s_nationkey % 5 WHEN 0 THEN 'Spot5' WHEN 1 THEN 'SPOT6' WHEN 2 THEN 'wv2' WHEN 3 THEN 'GE' ELSE 'Landsat' END"
 
 

@@ -246,3 +246,37 @@ def test_ccd_table(spark, tmp_path):
     (tmp_path / "ccd").write_text("1.0 2.0 3.0\n-1e-3 0 0.5\n")
     got = metadata.ccd_table(spark, str(tmp_path / "ccd")).orderBy("col").collect()
     assert [tuple(r) for r in got] == [(0, 1.0, 2.0, 3.0), (1, -0.001, 0.0, 0.5)]
+
+
+WAVES = np.random.default_rng(8).normal(0, 1 / 55, (150, 2))
+
+
+def surface(e, n):
+    """A texture of the map: many waves of some hundred metres and more."""
+    return sum(np.sin(e * a + n * b + 7 * i) for i, (a, b) in enumerate(WAVES))
+
+
+def test_patches_find_points_that_are_off(spark):
+    """Raw image and reference show one texture; points moved in the map are brought back by their patches."""
+    m = imagery.model(300, 260)
+    r, c = np.mgrid[0:300, 0:260]
+    lon, lat, _ = pushbroom.to_ground(m, c.ravel(), r.ravel(), 0.0)
+    e, n = geodesy.to_utm(lon, lat, 36, True)
+    raw = spark.createDataFrame(list(zip(r.ravel().tolist(), c.ravel().tolist(), surface(e, n).tolist())), "row int, col int, value double")
+    res, mid = 15.0, (float(e.mean()), float(n.mean()))
+    left, top = mid[0] - 120 * res, mid[1] + 120 * res
+    rr, cc = np.mgrid[0:240, 0:240]
+    ref = spark.createDataFrame(list(zip(rr.ravel().tolist(), cc.ravel().tolist(), surface(left + (cc.ravel() + 0.5) * res, top - (rr.ravel() + 0.5) * res).tolist())), "row int, col int, value double")
+    rows = []
+    for i, (x, y) in enumerate(((0, 0), (300, -200), (9e5, 0))):
+        lo, la = geodesy.from_utm(mid[0] + x, mid[1] + y, 36, True)
+        rows.append((f"g{i}", float(lo), float(la), 0.0, mid[0] + x, mid[1] + y, 1.0, 32636))
+    points = spark.createDataFrame(rows, "gcp_id string, lon double, lat double, alt double, x_map double, y_map double, weight double, epsg int")
+    got = {r.gcp_id: r for r in gcps.patch_shifts(points, m, None, raw, ref, (left, res, 0.0, top, 0.0, -res), 32, res).collect()}
+    assert abs(got["g0"].dx) < 0.1 and abs(got["g1"].dy) < 0.1 and got["g0"].snr > 0.5 and got["g2"].snr == 0
+    # a correction that tilts the model shifts what the patches show
+    off = np.array([[0, 0, 0], [0, 0, 0], [4e-5, 0, 0]])
+    a, b = (np.array(pushbroom.to_ground(m, [130.0], [150.0], 0.0, k)[:2]).ravel() for k in (None, off))
+    east = geodesy.to_utm(b[0], b[1], 36, True)[0] - geodesy.to_utm(a[0], a[1], 36, True)[0]
+    moved = {r.gcp_id: r for r in gcps.patch_shifts(points, m, off, raw, ref, (left, res, 0.0, top, 0.0, -res), 32, res).collect()}
+    assert moved["g0"].dx * res == pytest.approx(east, abs=4.0)
