@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, partitions, small_batches
 
 
-#: Edges that one task takes without noticing.
+#: Edges that one task takes without noticing: 16 bytes each.
 ONE_TASK = 500_000
 
 
+def joined(batches):
+    """(node, root) of all edges of a task, by joining trees."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            root.setdefault(x, x)
+            root.setdefault(y, y)
+            p, q = find(x), find(y)
+            root[max(p, q)] = min(p, q)
+    if root:
+        yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array([find(x) for x in root], pa.int64())], names=["node", "root"])
+
+
 def met_by_key(big: DataFrame, small: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
     """``big`` joined to ``small``, which has one row a key and in ``n`` the key's rows in ``big``.
 
@@ -33,7 +54,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     rounds that grows with the logarithm of a component's size. Minima and
     degrees are aggregated before the shuffle; where they are joined back, hubs
     are broadcast, so a node with very many neighbours is never gathered in one
-    task. When few edges are left, the rounds go on in one. Every round is cut with a reliable checkpoint. Self links are
+    task. Edges that one task holds easily are joined there. Every round is cut with a reliable checkpoint. Self links are
     ignored; an empty graph gives no rows.
     """
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
@@ -42,9 +63,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         got = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (got.n, got.h) == seen or not got.n:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        if got.n <= ONE_TASK and dict(now.dtypes)["u"] == "bigint":  # the rounds' result, without shuffles of next to nothing
+            small_batches(now.sparkSession)
+            return now.coalesce(1).mapInArrow(joined, "node long, root long")
         seen = (got.n, got.h)
-        if got.n <= ONE_TASK:
-            now = now.coalesce(1)  # the same steps, without a shuffle of next to nothing
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
         large = met_by_key(both, least, ["u"], "n", 2 * got.n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -83,7 +83,9 @@ def test_ring_filter_never_drops_a_link():
         assert simhash_dedup.ring_pass(x, d, d + 2).all()
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("one_task", [0, 500_000])
+def test_components_of_chains_and_stars(spark, one_task, monkeypatch):
+    monkeypatch.setattr("rasterloom.llm.components.ONE_TASK", one_task)
     edges = [(i, i + 1) for i in range(100)] + [(1000, i) for i in range(1001, 1300)] + [(7000, 7000)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(101)) and all(got[i] == 1000 for i in range(1000, 1300)) and len(got) == 401
