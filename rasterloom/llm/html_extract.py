@@ -8,8 +8,9 @@ site's template and are deleted:
 
 * in a page without a main element (article, main), those that the nearer
   neighbour shares,
-* inside a main element only those that both neighbours share, as two articles
-  may have a sentence in common that is no template.
+* inside a main element only those that both neighbours share and have in the
+  same place, counted from the element's first or last line, as articles may
+  have a sentence in common that is no template.
 
 A neighbour that shares so much of a page that it must be a copy of it or an
 edition of the same article (``SAME``) says nothing about the template.
@@ -207,16 +208,33 @@ def shared(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
     return found, there
 
 
-def main_text(page: list[Line], neighbours: list[set[int]]) -> str:
-    """The text of a page; neighbours: places of the lines that each shares, the nearer first, two at most."""
+def own_places(page: list[Line]) -> dict[int, tuple[int, int]]:
+    """Of the lines of the main element, or without one of those that markup leaves, by place: the numbers from the first and from the last."""
     main = any(kind == 1 for _, kind in page)
     own = [i for i, (_, kind) in enumerate(page) if kind == main]
+    return {i: (n, len(own) - 1 - n) for n, i in enumerate(own)}
+
+
+def alignment(page: list[Line], other: list[Line]) -> tuple[dict[int, tuple[int, int] | None], dict[int, tuple[int, int] | None]]:
+    """Shared lines of two pages by place, each with where the other has it among its own lines."""
+    a, b = shared([x for x, _ in page], [x for x, _ in other])
+    pairs, mine, theirs = list(zip(sorted(a), sorted(b), strict=True)), own_places(page), own_places(other)
+    return {i: theirs.get(j) for i, j in pairs}, {j: mine.get(i) for i, j in pairs}
+
+
+def main_text(page: list[Line], neighbours: list[dict[int, tuple[int, int] | None]]) -> str:
+    """The text of a page; neighbours: as of ``alignment``, the nearer first, two at most."""
+    main = any(kind == 1 for _, kind in page)
+    own = own_places(page)
     whole = sum(len(page[i][0]) for i in own)
     others = [s for s in neighbours if sum(len(page[i][0]) for i in own if i in s) <= SAME[main] * whole]
-    if main:
-        gone = others[0] & others[1] if len(others) > 1 else set()
+    if not main:
+        gone = set(others[0]) if others else set()
+    elif len(others) > 1:
+        at = {i: [own[i], others[0][i], others[1][i]] for i in own if others[0].get(i) and others[1].get(i)}
+        gone = {i for i, three in at.items() if len({p[0] for p in three}) == 1 or len({p[1] for p in three}) == 1}
     else:
-        gone = others[0] if others else set()
+        gone = set()
     return "\n".join(page[i][0] for i in own if i not in gone)
 
 
@@ -236,17 +254,15 @@ class _Page:
         self.edge, self.page_id, self.url, self.key, self.host = edge, page_id, url, key, key.partition("\u0001")[0]
         self.blocks = blocks(page)
 
-    def against(self, other: _Page | None) -> tuple[set[int], set[int]] | None:
+    def against(self, other: _Page | None):
         """Shared lines of this page and of another one of the host."""
-        if other is None or other.host != self.host:
-            return None
-        return shared([x for x, _ in self.blocks], [x for x, _ in other.blocks])
+        return None if other is None or other.host != self.host else alignment(self.blocks, other.blocks)
 
 
 def differenced(pages):
     """(page_id, url, text, n_chars) of the own pages of a sorted part."""
 
-    def done(x: _Page, before: tuple[_Page, set[int]] | None, after: tuple[_Page, set[int]] | None):
+    def done(x: _Page, before: tuple[_Page, dict] | None, after: tuple[_Page, dict] | None):
         near = [y for y in (after, before) if y]
         near.sort(key=lambda y: -len(commonprefix([y[0].key, x.key])))
         text = main_text(x.blocks, [places for _, places in near])

@@ -21,7 +21,7 @@ def plain_extract(rows):
         after = n + 1 if n + 1 < len(order) and order[n + 1][0] != k else None
         near = [m for m in (after, before) if m is not None and host(order[m][0]) == host(k)]
         near.sort(key=lambda m: -len(commonprefix([order[m][0], k])))
-        sets = [html_extract.shared([x for x, _ in lines[n]], [x for x, _ in lines[m]])[0] for m in near]
+        sets = [html_extract.alignment(lines[n], lines[m])[0] for m in near]
         out.append((i, u, html_extract.main_text(lines[n], sets)))
     out += [(i, u, html_extract.main_text(html_extract.blocks(p), [])) for i, u, p in spark_key.get(None, [])]
     return sorted(out, key=str)
