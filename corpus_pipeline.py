@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles with a Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies: five-word shingles with a Jaccard similarity of 0.8 or more, by SimHash with pigeonring filtering and an exact search for what that can't find."""
     return similar_dedup.keep_firsts(docs)
 
 

@@ -1,9 +1,17 @@
-"""Near copies by the Jaccard similarity of word shingles, exactly (the pipeline's near-copy stage).
+"""Near copies by SimHash with pigeonring filtering and by the Jaccard similarity of word shingles (the pipeline's near-copy stage).
 
 Two texts are linked when the sets of their word shingles have a Jaccard
 similarity of at least ``similarity``; one document of each component stays.
 
-No pair is lost. Sets of nx and ny shingles that are that similar differ in at
+First come the fingerprints: every set has a SimHash of its shingles, those
+within ``distance`` bits meet through the pigeonring filter of
+``simhash_dedup.links``, each is paired with the least one it is linked to (and
+sets with equal fingerprints with the first of them), and the pairs whose sets
+are similar enough are links. Fingerprints of 64 bits can't hold all pairs of a
+similarity of 0.8, so an exact search finds the others, between sets that the
+fingerprints have not brought together.
+
+There no pair is lost. Sets of nx and ny shingles that are that similar differ in at
 most H = (1 - s) / (1 + s) * (nx + ny) shingles. In a group of sizes with a
 common H, shingles are dealt by their hash to H + k parts, so at least k parts
 of the two sets are equal, and sets meet under the key of an equal part. A part
@@ -38,12 +46,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash_dedup
 from .common import arrow_schema, cut, few, map_rows, small_batches, to_batch
-from .components import components
+from .components import components, met_by_key
 from .simhash_dedup import first_rows
 
 SIMILARITY = 0.8
 WORDS = 5
+#: Bits in which linked fingerprints may differ.
+DISTANCE = 2
 #: Pairs of one set that a task of the confirming join takes.
 SHARE = 128
 #: Bytes of sketches that may be broadcast; blocks then stay where they are.
@@ -111,6 +122,15 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(np.bincount((mixed(hashes) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set as a signed 64-bit integer: a bit is 1 if set in over half the hashes."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 8192):
+        part = hashes[at : at + 8192].astype(">u8")
+        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes)).view(">i8")[0])
+
+
 def set_name(hashes: np.ndarray) -> int:
     import xxhash
 
@@ -233,25 +253,41 @@ def met_sets(texts: DataFrame, similarity: float, words: int, seed: int) -> Data
     return several.select("key", "sid").distinct()
 
 
-def links(docs: DataFrame, texts: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
-    """(node, root) of the linked sets; docs: (d, t, sid, n, mark), texts: (id struct<d, t>, text)."""
-    met = cut(met_sets(texts, similarity, words, seed))
-    degrees = met.groupBy("sid").agg(F.count("*").alias("met"))
-    marks = cut(docs.groupBy("sid").agg(F.first("n").alias("n"), F.first("mark").alias("mark"), F.min(F.struct("d", "t")).alias("id")).join(degrees, "sid"))
+def near_fingerprints(sets: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) of the sets (sid, fp) by fingerprints within the distance, at most two for each set."""
+    fps = cut(sets.groupBy("fp").agg(F.min("sid").alias("first"), F.count("*").alias("n")))
+    near = cut(simhash_dedup.links(fps.select("fp"), distance))
+    least = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
+    of = lambda k: fps.select(F.col("fp").alias(k), F.col("first").alias("s" + k))
+    linked = least.join(of("a"), "a").join(of("b"), "b").select("sa", "sb")
+    equal = met_by_key(sets.select("fp", "sid"), fps.filter("n > 1"), ["fp"], "n", fps.count()).filter("first <> sid").select("first", "sid")
+    both = linked.unionAll(equal).toDF("a", "b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def links(docs: DataFrame, texts: DataFrame, similarity: float, words: int, seed: int, distance: int) -> DataFrame:
+    """(node, root) of the linked sets; docs: (d, t, sid, n, mark, fp), texts: (id struct<d, t>, text)."""
+    sets = cut(docs.groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "mark", "fp")), F.min(F.struct("d", "t")).alias("id")))
 
     def make():
         return lambda cols: {"sid": cols["sid"], "hashes": [shingles(t, words, seed).astype(np.int64) for t in cols["text"]]}
 
     def similar(near: DataFrame) -> DataFrame:
         names = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        found = cut(marks.join(names, "sid", "left_semi").select("sid", F.col("id.d").alias("wd"), F.col("id.t").alias("wt")))
+        found = cut(sets.join(names, "sid", "left_semi").select("sid", F.col("id.d").alias("wd"), F.col("id.t").alias("wt")))
         some = texts.join(few(found), F.col("id.d").eqNullSafe(F.col("wd")) & (F.col("id.t") == F.col("wt"))).select("sid", "text").dropDuplicates(["sid"])
         return confirmed(near, map_rows(some, make, "sid long, hashes array<long>"), similarity)
 
-    ranked = met.join(marks.select("sid", "met"), "sid")
-    pivot = F.max_by("sid", F.struct("met", "sid")).over(Window.partitionBy("key"))
-    first = ranked.select("sid", pivot.alias("a")).filter("a <> sid").select("a", F.col("sid").alias("b")).distinct()
-    stars = cut(similar(cut(possible(first, marks, similarity))))
+    close = cut(similar(cut(possible(near_fingerprints(sets, distance), sets, similarity))))
+    together = few(cut(components(close)))
+
+    met = cut(met_sets(texts, similarity, words, seed))
+    degrees = met.groupBy("sid").agg(F.count("*").alias("met"))
+    marks = cut(sets.drop("fp").join(degrees, "sid"))
+    ranked = met.join(marks.select("sid", "met"), "sid").join(together.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    pivot = F.max_by(F.struct("sid", "root"), F.struct("met", "sid")).over(Window.partitionBy("key"))
+    first = ranked.select("sid", "root", pivot.alias("p")).filter("p.root <> root").select(F.col("p.sid").alias("a"), F.col("sid").alias("b")).distinct()
+    stars = close.unionByName(cut(similar(cut(possible(first, marks, similarity)))))
     roots = components(stars)
     rooted = met.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
     block = Window.partitionBy("key")
@@ -259,7 +295,7 @@ def links(docs: DataFrame, texts: DataFrame, similarity: float, words: int, seed
     return components(stars.unionByName(similar(cut(possible_in_blocks(cut(left), marks, similarity)))))
 
 
-def keep_firsts(df: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_firsts(df: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """One row of each component, all columns: the one with the smallest id, null ids last, then by the text's hash."""
     texts = df.select(F.struct(df[id_col].alias("d"), F.xxhash64(F.coalesce(df[text_col], F.lit(""))).alias("t")).alias("id"), df[text_col].alias("text"))
     kind = dict(texts.dtypes)["id"]
@@ -267,12 +303,12 @@ def keep_firsts(df: DataFrame, similarity: float = SIMILARITY, words: int = WORD
     def make():
         def run(cols):
             sets = [shingles(t, words, seed) for t in cols["text"]]
-            return {"id": cols["id"], "sid": [set_name(x) for x in sets], "n": [len(x) for x in sets], "mark": [sketch(x) for x in sets]}
+            return {"id": cols["id"], "sid": [set_name(x) for x in sets], "n": [len(x) for x in sets], "mark": [sketch(x) for x in sets], "fp": [fingerprint(x) for x in sets]}
 
         return run
 
-    docs = cut(map_rows(texts, make, f"id {kind}, sid long, n long, mark binary").select("id.d", "id.t", "sid", "n", "mark"))
-    roots = links(docs, texts, similarity, words, seed)
+    docs = cut(map_rows(texts, make, f"id {kind}, sid long, n long, mark binary, fp long").select("id.d", "id.t", "sid", "n", "mark", "fp"))
+    roots = links(docs, texts, similarity, words, seed, distance)
     named = docs.select("d", "t", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("d", "t", F.coalesce("root", "sid").alias("root"))
     order = F.struct(F.col("d").isNull().alias("n"), F.col("d"), F.col("t"))
     return first_rows(df, docs, named.groupBy("root").agg(F.min(order).alias("f")), id_col, text_col)

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 
 import corpus_pipeline
-from rasterloom.llm import similar_dedup
+from rasterloom.llm import similar_dedup, simhash_dedup
 
 
 def plain_sets(texts, k=5):
@@ -89,3 +89,31 @@ def test_similar_sets_always_meet():
         b = np.unique(np.concatenate([rng.permutation(a)[:both], extra]))
         if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)) and len(np.setxor1d(a, b)):
             assert np.intersect1d(similar_dedup.keys(a), similar_dedup.keys(b)).size
+
+
+def test_fingerprints_link_without_the_exact_search(spark, monkeypatch):
+    """With no keys to meet by, near copies within 2 bits are still linked, and a half of the text is not."""
+    rng = random.Random(11)
+    bits = lambda x, y: (similar_dedup.fingerprint(x) ^ similar_dedup.fingerprint(y)).bit_count()
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    texts = [" ".join(base)]
+    while len(texts) < 12:
+        now = list(base)
+        now[rng.randrange(400)] = f"x{len(texts)}"
+        if bits(*(similar_dedup.shingles(t) for t in (texts[0], " ".join(now)))) <= 2:
+            texts.append(" ".join(now))
+    texts.append(" ".join(base[:200]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met = []
+    monkeypatch.setattr(similar_dedup, "met_sets", lambda texts, *_: spark.createDataFrame([], "key long, sid long"))
+    links = simhash_dedup.links
+    monkeypatch.setattr(simhash_dedup, "links", lambda *a: met.append(links(*a).count()) or links(*a))
+    assert kept(df) == [0, 12] and met[0] >= 11
+
+
+def test_fingerprint_is_the_majority_of_each_bit():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 5, 100, 9000):
+        x = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        want = sum(1 << b for b in range(64) if 2 * sum(int(v) >> b & 1 for v in x) > len(x))
+        assert similar_dedup.fingerprint(x) % 2**64 == want
