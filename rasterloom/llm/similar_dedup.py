@@ -27,10 +27,14 @@ compared. The pairs left are confirmed on their whole sets. First each set of a
 block is held against one, the set that meets others under most keys, as the
 original of many edited copies does; a large group of near copies so costs a
 pass and not its square. Then the sets of a block that aren't in one component
-yet are held against each other, in tiles of ``TILE`` by ``TILE`` sets that give
-only the pairs that their sketches allow; blocks of texts that share no more than
-a frequent passage cost the square of their size in comparisons of sketches, but
-neither rows nor memory.
+yet are held against each other, in tiles of ``TILE`` by ``TILE`` sets. A tile
+gives units: sets that their sketches chain together, with a bit for each pair
+that is possible, so rows grow with the sets and not with the pairs. Units that
+several blocks have alike are one, and are settled on their whole sets, which
+gives only the links that bring sets together. Tiles of one component don't meet
+each other. Blocks of texts that share no more than a frequent passage still cost
+the square of their size in comparisons of sketches, and a sketch moves as often
+as its block has tiles.
 
 Defined results: texts with equal sets are copies, as are all null, empty and
 blank texts. A text of fewer words than a shingle is one shingle.
@@ -61,6 +65,10 @@ SHARE = 128
 MARKS = 1 << 26
 #: Sets on each side of a tile of a block.
 TILE = 512
+#: Shingles on each side of a unit, 8 bytes each.
+UNIT = 1 << 18
+#: Columns of units.
+UNITS = "x array<long>, y array<long>, roots array<long>, near binary"
 
 
 def shingles(text: str | None, words: int = WORDS, seed: int = 42) -> np.ndarray:
@@ -183,26 +191,64 @@ def possible(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame
     return met.select("a", "b", "ma", "mb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
+def tiled(blocks: DataFrame) -> DataFrame:
+    """The sets of blocks (key, sid, root) with the tile t of each and the tiles u that it meets.
+
+    Tiles follow the roots, and those of one root don't meet: a large group that
+    is in one component goes only to the tiles with other sets.
+    """
+    order = Window.partitionBy("key")
+    placed = blocks.withColumns({"t": F.floor((F.row_number().over(order.orderBy("root", "sid")) - 1) / TILE), "tiles": F.ceil(F.count("*").over(order) / TILE)})
+    tile, root = Window.partitionBy("key", "t"), Window.partitionBy("key", "root")
+    own = placed.withColumn("own", F.min("root").over(tile) == F.max("root").over(tile))
+    begun = own.withColumns({"from": F.min(F.when(F.col("own"), F.col("t"))).over(root), "to": F.max(F.when(F.col("own"), F.col("t"))).over(root)})
+    every = F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)
+    return begun.withColumn("u", F.explode(F.when(F.col("own"), F.filter(every, lambda u: (u < F.col("from")) | (u > F.col("to")))).otherwise(every))).select("key", "sid", "root", "t", "u")
+
+
+def parts_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node that each of n nodes reaches by the edges (a, b)."""
+    least = np.arange(n)
+    while True:
+        before = least.copy()
+        m = np.minimum(least[a], least[b])
+        np.minimum.at(least, a, m)
+        np.minimum.at(least, b, m)
+        least = least[least]
+        if (least == before).all():
+            return least
+
+
+def shares(at: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Places cut where the sizes reach ``UNIT``; a share has one place at least."""
+    cuts = (np.cumsum(sizes[at]) - 1) // UNIT
+    return np.split(at, np.flatnonzero(np.diff(cuts)) + 1)
+
+
 def possible_in_blocks(blocks: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of different roots in blocks (key, sid, root) that sizes and sketches don't rule out."""
+    """Units (x, y, roots, near) of sets in blocks (key, sid, root): bit i * len(y) + j of ``near`` says whether sizes and sketches leave x[i] and y[j] possible.
+
+    All possible pairs of different roots in a block are in a unit, and the sets
+    of a tile in one unit, or a few if they are large. So rows grow with the
+    sets, whatever the number of pairs. The same units of several blocks are one.
+    """
     small_batches(blocks.sparkSession)
-    schema = arrow_schema(blocks.sparkSession, "a long, b long")
-    order = Window.partitionBy("key")
-    placed = blocks.withColumns({"t": F.floor((F.row_number().over(order.orderBy("sid")) - 1) / TILE), "tiles": F.ceil(F.count("*").over(order) / TILE)})
+    schema = arrow_schema(blocks.sparkSession, UNITS)
     size = marks.agg(F.sum(F.length("mark") + 64).alias("b")).first().b or 0
     named = marks.select("sid", "n", "mark")
-    whole = placed.join(F.broadcast(named) if size <= MARKS else named, "sid")
-    # a set goes to the tiles of its row and of its column
-    other = whole.withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    whole = tiled(blocks).join(F.broadcast(named) if size <= MARKS else named, "sid")
     entry = F.struct("sid", "root", "n", "mark", (F.col("t") > F.col("u")).alias("second"))
-    tiles = other.groupBy("key", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j")).agg(F.collect_list(entry).alias("sets"))  # 2 TILE at most
+    tiles = whole.groupBy("key", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j")).agg(F.collect_list(entry).alias("sets"))  # 2 TILE at most
 
     def run(batches):
         for batch in batches:
+            out = []
             for i, j, sets in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                sets.sort(key=lambda r: r["sid"])
                 x = [r for r in sets if not r["second"]]
                 y = x if i == j else [r for r in sets if r["second"]]
                 n = [np.array([r["n"] for r in v], np.int64) for v in (x, y)]
+                sid = [np.array([r["sid"] for r in v], np.int64) for v in (x, y)]
                 root = [np.array([r["root"] for r in v], np.int64) for v in (x, y)]
                 if not x or not y or (root[0].min() == root[0].max() == root[1].min() == root[1].max()):
                     continue
@@ -210,10 +256,62 @@ def possible_in_blocks(blocks: DataFrame, marks: DataFrame, similarity: float) -
                 if i == j:
                     near = np.triu(near, 1)
                 a, b = np.nonzero(near)
-                if len(a):
-                    yield to_batch({"a": [x[k]["sid"] for k in a], "b": [y[k]["sid"] for k in b]}, schema)
+                part = parts_of(a, b if i == j else b + len(x), len(x) + (0 if i == j else len(y)))
+                of = part[: len(x)], part if i == j else part[len(x) :]
+                for name in np.unique(part[a]):
+                    left, right = (shares(np.flatnonzero(v == name), m) for v, m in zip(of, n, strict=True))
+                    for p in left:
+                        for q in right:
+                            some = near[np.ix_(p, q)]
+                            if some.any():
+                                out.append((sid[0][p].tolist(), sid[1][q].tolist(), np.concatenate([root[0][p], root[1][q]]).tolist(), np.packbits(some).tobytes()))
+            if out:
+                yield to_batch(dict(zip(schema.names, zip(*out, strict=True), strict=True)), schema)
+
+    return tiles.select("i", "j", "sets").mapInArrow(run, UNITS).distinct()
+
+
+def linked_in_unit(x: list[int], y: list[int], roots: list[int], near: bytes, sets: dict[int, np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (a, b) of a unit whose sets are similar enough; none between sets that its other links have brought together."""
+    s = Fraction(str(similarity))
+    p, q = s.numerator, s.denominator
+    fits = np.unpackbits(np.frombuffer(near, np.uint8), count=len(x) * len(y)).reshape(len(x), len(y)).view(bool)
+    other = [sets[v] for v in y]
+    sizes = np.array([len(v) for v in other])
+    now, r = np.array(roots), len(x)
+    found = []
+    for i in np.flatnonzero(fits.any(axis=1)):
+        own = sets[x[i]]
+        at = np.flatnonzero(fits[i] & (now[r:] != now[i]))
+        if not len(at):
+            continue
+        every = np.concatenate([other[j] for j in at])
+        place = np.minimum(np.searchsorted(own, every), len(own) - 1)
+        both = np.add.reduceat((own[place] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[at])[:-1]]))
+        # J >= p / q, in whole numbers: both * (p + q) >= p * (nx + ny)
+        for j in at[both * (p + q) >= (len(own) + sizes[at]) * p]:
+            if now[r + j] != now[i]:
+                found.append((x[i], y[j]))
+                now[now == now[r + j]] = now[i]
+    return found
+
+
+def confirmed_units(units: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of the units whose sets (sid, hashes binary) are similar enough; as few as bring together what is linked."""
+    small_batches(units.sparkSession)
+    schema = arrow_schema(units.sparkSession, "a long, b long")
+    names = units.select("unit", F.explode(F.array_union("x", "y")).alias("sid"))
+    held = names.join(sets, "sid").groupBy("unit").agg(F.collect_list(F.struct("sid", "hashes")).alias("sets"))  # of UNIT shingles a side, or one set
+
+    def run(batches):
+        for batch in batches:
+            got = []
+            for x, y, roots, near, whole in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                got += linked_in_unit(x, y, roots, near, {r["sid"]: np.frombuffer(r["hashes"], np.uint64) for r in whole}, similarity)
+            if got:
+                yield to_batch(dict(zip(("a", "b"), zip(*got, strict=True), strict=True)), schema)
 
-    return tiles.select("i", "j", "sets").mapInArrow(run, "a long, b long").distinct()
+    return units.join(held, "unit").select("x", "y", "roots", "near", "sets").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -256,8 +354,9 @@ def met_sets(texts: DataFrame, similarity: float, words: int, seed: int) -> Data
 def near_fingerprints(sets: DataFrame, distance: int) -> DataFrame:
     """Pairs (a, b) of the sets (sid, fp) by fingerprints within the distance, at most two for each set."""
     fps = cut(sets.groupBy("fp").agg(F.min("sid").alias("first"), F.count("*").alias("n")))
-    near = cut(simhash_dedup.links(fps.select("fp"), distance))
-    least = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
+    near = simhash_dedup.links(fps.select("fp"), distance)
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    least = near.select(ends.alias("e")).groupBy("e.a").agg(F.min("e.b").alias("b"))
     of = lambda k: fps.select(F.col("fp").alias(k), F.col("first").alias("s" + k))
     linked = least.join(of("a"), "a").join(of("b"), "b").select("sa", "sb")
     equal = met_by_key(sets.select("fp", "sid"), fps.filter("n > 1"), ["fp"], "n", fps.count()).filter("first <> sid").select("first", "sid")
@@ -269,14 +368,19 @@ def links(docs: DataFrame, texts: DataFrame, similarity: float, words: int, seed
     """(node, root) of the linked sets; docs: (d, t, sid, n, mark, fp), texts: (id struct<d, t>, text)."""
     sets = cut(docs.groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "mark", "fp")), F.min(F.struct("d", "t")).alias("id")))
 
-    def make():
+    def numbers():
         return lambda cols: {"sid": cols["sid"], "hashes": [shingles(t, words, seed).astype(np.int64) for t in cols["text"]]}
 
-    def similar(near: DataFrame) -> DataFrame:
-        names = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    def packed():
+        return lambda cols: {"sid": cols["sid"], "hashes": [shingles(t, words, seed).tobytes() for t in cols["text"]]}
+
+    def texts_of(names: DataFrame) -> DataFrame:
         found = cut(sets.join(names, "sid", "left_semi").select("sid", F.col("id.d").alias("wd"), F.col("id.t").alias("wt")))
-        some = texts.join(few(found), F.col("id.d").eqNullSafe(F.col("wd")) & (F.col("id.t") == F.col("wt"))).select("sid", "text").dropDuplicates(["sid"])
-        return confirmed(near, map_rows(some, make, "sid long, hashes array<long>"), similarity)
+        return texts.join(few(found), F.col("id.d").eqNullSafe(F.col("wd")) & (F.col("id.t") == F.col("wt"))).select("sid", "text").dropDuplicates(["sid"])
+
+    def similar(near: DataFrame) -> DataFrame:
+        some = texts_of(near.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+        return confirmed(near, map_rows(some, numbers, "sid long, hashes array<long>"), similarity)
 
     close = cut(similar(cut(possible(near_fingerprints(sets, distance), sets, similarity))))
     together = few(cut(components(close)))
@@ -292,7 +396,9 @@ def links(docs: DataFrame, texts: DataFrame, similarity: float, words: int, seed
     rooted = met.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
     block = Window.partitionBy("key")
     left = rooted.withColumns({"x": F.min("root").over(block), "y": F.max("root").over(block)}).filter("x <> y").select("key", "sid", "root")
-    return components(stars.unionByName(similar(cut(possible_in_blocks(cut(left), marks, similarity)))))
+    units = cut(possible_in_blocks(cut(left), marks, similarity).withColumn("unit", F.monotonically_increasing_id()))
+    some = texts_of(units.select(F.explode(F.array_union("x", "y")).alias("sid")).distinct())
+    return components(stars.unionByName(confirmed_units(units, map_rows(some, packed, "sid long, hashes binary"), similarity)))
 
 
 def keep_firsts(df: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from rasterloom.llm import similar_dedup, simhash_dedup
@@ -117,3 +118,68 @@ def test_fingerprint_is_the_majority_of_each_bit():
         x = np.unique(rng.integers(0, 2**64, n, np.uint64))
         want = sum(1 << b for b in range(64) if 2 * sum(int(v) >> b & 1 for v in x) > len(x))
         assert similar_dedup.fingerprint(x) % 2**64 == want
+
+
+def middling(n, words=120, edits=4, seed=9):
+    """Edited copies of one text, most pairs of which are a little less similar than 0.8."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    out = []
+    for i in range(n):
+        now = list(base)
+        for _ in range(rng.randint(1, edits)):
+            now[rng.randrange(words)] = f"x{i}y{rng.randrange(9)}"
+        out.append(" ".join(now))
+    return out
+
+
+def test_rows_of_a_block_grow_with_its_sets(spark):
+    texts = middling(300)
+    sets = [similar_dedup.shingles(t) for t in texts]
+    rows = [(similar_dedup.set_name(x), len(x), similar_dedup.sketch(x)) for x in sets]
+    marks = spark.createDataFrame([(s, n, bytearray(m)) for s, n, m in rows], "sid long, n long, mark binary")
+    blocks = spark.createDataFrame([(key, r[0], r[0]) for key in (1, 2) for r in rows], "key long, sid long, root long")
+    got = similar_dedup.possible_in_blocks(blocks, marks, 0.8).collect()
+    assert 0 < len(got) <= len(rows)
+    want, found = set(), set()
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            both = len(np.intersect1d(x, y))
+            if 5 * both >= 4 * (len(x) + len(y) - both):
+                want.add(frozenset((rows[i][0], rows[j][0])))
+    for u in got:
+        near = np.unpackbits(np.frombuffer(u.near, np.uint8), count=len(u.x) * len(u.y)).reshape(len(u.x), len(u.y))
+        found |= {frozenset((u.x[i], u.y[j])) for i, j in zip(*np.nonzero(near))}
+    assert want and want <= found
+
+
+@pytest.mark.parametrize("tile", [8, 512])
+def test_large_middling_group_against_brute_force(spark, tile, monkeypatch):
+    monkeypatch.setattr(similar_dedup, "TILE", tile)
+    rng = random.Random(tile)
+    texts = middling(120, edits=6) + middling(60, edits=2, seed=3) + middling(40, words=40, edits=2, seed=4)
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert kept(df) == firsts(range(len(texts)), texts)
+
+
+def test_tiles_of_one_root_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(similar_dedup, "TILE", 4)
+    roots = [1] * 40 + [2, 3, 4]
+    blocks = spark.createDataFrame([(7, i, r) for i, r in enumerate(roots)], "key long, sid long, root long")
+    met = defaultdict(set)
+    for r in similar_dedup.tiled(blocks).collect():
+        met[min(r.t, r.u), max(r.t, r.u)].add((r.sid, r.t))
+    pairs = {frozenset((a, b)) for (i, j), v in met.items() for a, t in v for b, u in v if a != b and {t, u} == {i, j}}
+    assert pairs >= {frozenset((a, b)) for a in range(43) for b in range(a) if roots[a] != roots[b]}
+    assert sum(map(len, met.values())) <= 2 * len(roots)
+
+
+def test_shares_and_links_of_a_unit(monkeypatch):
+    monkeypatch.setattr(similar_dedup, "UNIT", 10)
+    got = similar_dedup.shares(np.array([0, 2, 3, 5]), np.array([4, 99, 5, 30, 99, 3]))
+    assert [v.tolist() for v in got] == [[0, 2], [3], [5]]
+    x = [np.arange(a, a + 20, dtype=np.uint64) for a in (0, 1, 2, 50, 51)]
+    near = np.packbits(np.triu(np.ones((5, 5), bool), 1)).tobytes()
+    links = similar_dedup.linked_in_unit(list(range(5)), list(range(5)), 2 * list(range(5)), near, dict(enumerate(x)), 0.8)
+    assert links == [(0, 1), (0, 2), (3, 4)]
