@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash_dedup
-from .common import arrow_schema, cut, few, map_rows, small_batches, to_batch
+from .common import arrow_schema, cut, few, map_rows, partitions, small_batches, to_batch
 from .components import components, met_by_key
 from .simhash_dedup import first_rows
 
@@ -197,11 +197,13 @@ def tiled(blocks: DataFrame) -> DataFrame:
     Tiles follow the roots, and those of one root don't meet: a large group that
     is in one component goes only to the tiles with other sets.
     """
-    order = Window.partitionBy("key")
-    placed = blocks.withColumns({"t": F.floor((F.row_number().over(order.orderBy("root", "sid")) - 1) / TILE), "tiles": F.ceil(F.count("*").over(order) / TILE)})
-    tile, root = Window.partitionBy("key", "t"), Window.partitionBy("key", "root")
-    own = placed.withColumn("own", F.min("root").over(tile) == F.max("root").over(tile))
-    begun = own.withColumns({"from": F.min(F.when(F.col("own"), F.col("t"))).over(root), "to": F.max(F.when(F.col("own"), F.col("t"))).over(root)})
+    block = Window.partitionBy("key")
+    run = block.orderBy("root")  # in the order of the first window, so that one sort does
+    placed = blocks.withColumn("at", F.row_number().over(block.orderBy("root", "sid")) - 1).withColumns({"first": F.rank().over(run) - 1, "after": F.count("*").over(run)}).withColumn("n", F.count("*").over(block))
+    begun = placed.select(
+        "key", "sid", "root", F.floor(F.col("at") / TILE).alias("t"), F.ceil(F.col("n") / TILE).alias("tiles"),
+        F.ceil(F.col("first") / TILE).alias("from"), (F.when(F.col("after") == F.col("n"), F.ceil(F.col("n") / TILE)).otherwise(F.floor(F.col("after") / TILE)) - 1).alias("to"),
+    ).withColumn("own", F.col("t").between(F.col("from"), F.col("to")))
     every = F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)
     return begun.withColumn("u", F.explode(F.when(F.col("own"), F.filter(every, lambda u: (u < F.col("from")) | (u > F.col("to")))).otherwise(every))).select("key", "sid", "root", "t", "u")
 
@@ -391,7 +393,7 @@ def links(docs: DataFrame, texts: DataFrame, similarity: float, words: int, seed
     ranked = met.join(marks.select("sid", "met"), "sid").join(together.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     pivot = F.max_by(F.struct("sid", "root"), F.struct("met", "sid")).over(Window.partitionBy("key"))
     first = ranked.select("sid", "root", pivot.alias("p")).filter("p.root <> root").select(F.col("p.sid").alias("a"), F.col("sid").alias("b")).distinct()
-    stars = close.unionByName(cut(similar(cut(possible(first, marks, similarity)))))
+    stars = close.unionByName(cut(similar(cut(possible(first, marks, similarity))))).coalesce(partitions(met.sparkSession))
     roots = components(stars)
     rooted = met.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
     block = Window.partitionBy("key")
