@@ -4,6 +4,7 @@ from itertools import combinations, permutations
 
 from pyspark.sql import functions as F
 
+from rasterloom.functions import grid
 from rasterloom.operators import pairs
 
 
@@ -22,3 +23,32 @@ def test_combinations_come_from_many_tasks(spark):
     assert sorted(map(tuple, got.collect())) == want
     even = spark.range(320).select((F.col("id") % 4).alias("g"), F.col("id").alias("v"))
     assert largest_share(pairs.three_d_combinations(even.filter("v < 160"), even.filter("v >= 160"), "g", "v")) < 0.15
+
+
+def boxes(spark, n, seed, wide=10.0):
+    at = [(F.rand(seed + k) * 100).alias(c) for k, c in enumerate(("minx", "miny"))]
+    b = spark.range(n).select("id", *at)
+    sides = spark.createDataFrame(b.collect(), b.schema)
+    return sides.select("id", "minx", "miny", (F.col("minx") + wide + F.col("id") % 3).alias("maxx"), (F.col("miny") + F.col("id") % 5 + 1).alias("maxy"))
+
+
+def test_boxes_meet_in_parts_of_cells(spark, monkeypatch):
+    """Every pair once, though cells are cut in parts, some boxes cover many cells."""
+    monkeypatch.setattr(pairs, "PART_BOXES", 8)
+    l, r = boxes(spark, 150, 1), boxes(spark, 90, 5, 40.0)
+    x, y = l.collect(), r.collect()
+    want = sorted((a.id, b.id) for a in x for b in y if min(a.maxx, b.maxx) >= max(a.minx, b.minx) and min(a.maxy, b.maxy) >= max(a.miny, b.miny))
+    for cell in (7.0, 500.0):
+        assert sorted((p.l_id, p.r_id) for p in pairs.overlapping(l, r, cell).collect()) == want
+
+
+def test_overlaps_of_one_place_come_from_many_tasks(spark):
+    """Boxes that are much smaller than the asked cell all lay in one, and one task compared them all."""
+    b = boxes(spark, 1500, 9, 3.0)
+    assert largest_share(pairs.overlapping(b, b, 500.0).filter("l_id < r_id")) < 0.1
+
+
+def test_quick_round_is_round(spark):
+    v = [0.0, -0.0, 1.0000005, 2.0000015, -2.5000005, 0.1234564999999, 99.9999995, 1e9, 123456.7890125, -1e-7, 5e300, float("inf"), float("nan"), None] + [k / 7e5 - 3 for k in range(2000)] + [k / 2e6 for k in range(2000)]
+    df = spark.createDataFrame([(x,) for x in v], "v double")
+    assert df.filter(~F.round("v", 6).eqNullSafe(grid.quick_round(F.col("v")))).count() == 0
