@@ -132,6 +132,13 @@ def tie_point_table(tps: DataFrame, pairs: DataFrame, ref: str = "ref", raw: str
     return tps.join(pairs.select(ref, raw).distinct(), [ref, raw])
 
 
+def tie_points_meeting(tps: DataFrame, refs: DataFrame, raws: DataFrame, key: str, ref: str = "ref", raw: str = "raw") -> DataFrame:
+    """Tie points of the pairs of images that have a key in common. The pairs, as many as the product of a key's images, aren't written out: each point gets its two images' keys."""
+    of = lambda d, image, c: d.filter(F.col(key).isNotNull()).groupBy(image).agg(F.collect_set(key).alias(c))
+    met = tps.join(of(refs, ref, "_ref_keys"), ref).join(of(raws, raw, "_raw_keys"), raw)
+    return met.filter(F.arrays_overlap("_ref_keys", "_raw_keys")).select(*tps.columns)
+
+
 def upserted(df: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     """A catalogue with columns that only the updates have added, and the updates' values in rows with their key."""
     added = [c for c in updates.columns if c not in df.columns]

@@ -5,7 +5,8 @@ from itertools import combinations, permutations
 from pyspark.sql import functions as F
 
 from rasterloom.functions import grid
-from rasterloom.operators import pairs
+from rasterloom.operators import batch, pairs
+from rasterloom.plans import relations
 
 
 def largest_share(df):
@@ -52,3 +53,18 @@ def test_quick_round_is_round(spark):
     v = [0.0, -0.0, 1.0000005, 2.0000015, -2.5000005, 0.1234564999999, 99.9999995, 1e9, 123456.7890125, -1e-7, 5e300, float("inf"), float("nan"), None] + [k / 7e5 - 3 for k in range(2000)] + [k / 2e6 for k in range(2000)]
     df = spark.createDataFrame([(x,) for x in v], "v double")
     assert df.filter(~F.round("v", 6).eqNullSafe(grid.quick_round(F.col("v")))).count() == 0
+
+
+def test_tie_points_without_the_product_of_images(spark):
+    tps = spark.createDataFrame([(r, w, 10 * r + w) for r in (1, 2, 3, 9) for w in (5, 6, 7, 8)] * 2, "ref long, raw long, n long")
+    refs = spark.createDataFrame([(1, 0), (1, 4), (2, 1), (3, None), (3, 2)], "ref long, k int")
+    raws = spark.createDataFrame([(5, 4), (5, 0), (6, 1), (7, None), (8, 2), (8, 2)], "raw long, k int")
+    got = batch.tie_points_meeting(tps, refs, raws, "k")
+    assert sorted((r.ref, r.raw) for r in got.collect()) == [(1, 5)] * 2 + [(2, 6)] * 2 + [(3, 8)] * 2
+    assert got.columns == tps.columns
+
+
+def test_tie_point_query_groups_images_not_pairs(spark, sf):
+    """The asked pairs, as many as the product of a key's images, were joined and made distinct."""
+    plan = relations.tie_point_pairs(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_overlap" in plan
