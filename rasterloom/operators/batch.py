@@ -7,11 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pairs import BOX, overlapping, serial_pairs
+from .pairs import BOX, UNIT_TASKS, overlapping, serial_pairs
 from .sequences import latest
 
 #: Lists of images that a job crosses are broadcast below this number of rows.
 BROADCAST_ROWS = 100_000
+#: Names that texts are searched for are broadcast below this number, and met by a shuffle beyond.
+BROADCAST_NAMES = 1_000_000
+#: Characters of the pieces that a text is cut to; a piece goes on by a name's length.
+PIECE = 256
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -91,6 +95,25 @@ def complete_sets(wanted: DataFrame, existing: DataFrame, set_key: str, name: st
     return met.groupBy(set_key).agg(F.count("*").alias("_n")).filter(F.col("_n") == size).select(set_key)
 
 
+def found_in(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """Distinct texts, by hash of the text in many tasks, with each row of the names that they contain.
+
+    Parts of a text as long as a name meet the names by an equi-join, so the
+    work is the texts' length times the number of lengths that names have, and
+    not the number of names. Long texts are cut first, as a part is found by
+    counting characters.
+    """
+    lengths = sorted(r[0] for r in names.select(F.length(name)).distinct().collect() if r[0] is not None)
+    if not lengths:
+        return texts.select(text).filter("false").crossJoin(names)
+    step, last = F.lit(PIECE), F.greatest(F.length(text) - 1, F.lit(0))
+    piece = F.transform(F.sequence(F.lit(0), F.floor(last / step).cast("int")), lambda k: F.substring(F.col(text), k * step + 1, F.lit(PIECE + lengths[-1] - 1)))
+    cut = texts.select(text).repartition(UNIT_TASKS, text).distinct().select(text, F.explode(piece).alias("_x"))
+    at = cut.withColumn("_at", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_x"), F.lit(1))))).withColumn("_len", F.explode(F.array(*map(F.lit, lengths))))
+    parts = at.filter(F.col("_at") + F.col("_len") - 1 <= F.length("_x")).select(text, F.substring(F.col("_x"), F.col("_at"), F.col("_len")).alias(name))
+    return parts.join(small(names, BROADCAST_NAMES), name)
+
+
 def named_in(df: DataFrame, text: str, names: DataFrame, name: str, order: str) -> DataFrame:
     """Adds the last name, by ``order``, that a row's text contains, null without one.
 
@@ -106,8 +129,8 @@ def named_in(df: DataFrame, text: str, names: DataFrame, name: str, order: str)
 
 
 def unmentioned(files: DataFrame, name: str, lines: DataFrame, line: str) -> DataFrame:
-    """Files whose name no line contains. Names are tested where the lines are; the mentioned ones are then taken off by an equi-join."""
-    met = lines.select(line).distinct().join(small(files.select(F.col(name).alias("_n")).distinct()), F.expr(f"contains(`{line}`, _n)"))
+    """Files whose name no line contains: the names that are found in lines are taken off by an equi-join."""
+    met = found_in(lines.select(F.col(line).alias("_t")), "_t", files.select(F.col(name).alias("_n")).distinct(), "_n")
     return files.join(met.select(F.col("_n").alias(name)).distinct(), name, "left_anti")
 
 

@@ -55,6 +55,12 @@ def test_quick_round_is_round(spark):
     assert df.filter(~F.round("v", 6).eqNullSafe(grid.quick_round(F.col("v")))).count() == 0
 
 
+def rows_met(df):
+    """The join operators of a plan that test all rows against all."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [w for w in ("BroadcastNestedLoopJoin", "CartesianProduct") if w in plan]
+
+
 def test_tie_points_without_the_product_of_images(spark):
     tps = spark.createDataFrame([(r, w, 10 * r + w) for r in (1, 2, 3, 9) for w in (5, 6, 7, 8)] * 2, "ref long, raw long, n long")
     refs = spark.createDataFrame([(1, 0), (1, 4), (2, 1), (3, None), (3, 2)], "ref long, k int")
@@ -68,3 +74,15 @@ def test_tie_point_query_groups_images_not_pairs(spark, sf):
     """The asked pairs, as many as the product of a key's images, were joined and made distinct."""
     plan = relations.tie_point_pairs(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "arrays_overlap" in plan
+
+
+def test_files_meet_lines_by_their_parts(spark):
+    """Names within names, empty ones, null ones, and names over the cut of a long text."""
+    long = "ä" * (batch.PIECE - 2) + "r12.tif" + "b" * 900 + "tail"
+    texts = spark.createDataFrame([(1, "keep r1.tif"), (2, long), (3, ""), (4, None), (5, "keep r1.tif"), (6, "r12.ti")], "id int, x string")
+    names = spark.createDataFrame([("r1.tif", 1), ("r12.tif", 2), ("12.tif", 3), ("tail", 0), ("r1", -1), (None, 9), ("äär", 1), ("r1.tif", 0)], "n string, o int")
+    files = names.select("n")
+    left = batch.unmentioned(files, "n", texts.filter("id = 6"), "x")
+    assert not rows_met(left)
+    assert sorted(str(r.n) for r in left.collect()) == ["12.tif", "None", "r1.tif", "r1.tif", "r12.tif", "tail", "äär"]
+    assert [r.n for r in batch.unmentioned(files.filter("n = 'tail'").unionAll(spark.createDataFrame([("",)], "n string")), "n", texts.filter("x = ''"), "x").collect()] == ["tail"]
