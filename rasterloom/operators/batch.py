@@ -115,16 +115,10 @@ def found_in(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFr
 
 
 def named_in(df: DataFrame, text: str, names: DataFrame, name: str, order: str) -> DataFrame:
-    """Adds the last name, by ``order``, that a row's text contains, null without one.
-
-    Names are a catalogue's images. Texts are tested against all of them, in
-    one task's memory if the catalogue is small; the last match is kept while
-    combining, before the shuffle.
-    """
+    """Adds the last name, by ``order``, that a row's text contains, null without one. The last match is kept where the text is."""
     key = df.withColumn("_t", F.col(text))
-    texts = key.select("_t").distinct()
-    met = texts.join(small(names.select(F.col(name).alias("_name"), F.col(order).alias("_o"))), F.expr("contains(_t, _name)"))
-    last = met.groupBy("_t").agg(F.max_by("_name", "_o").alias(name + "_found"))
+    listed = names.groupBy(F.col(name).alias("_name")).agg(F.max(order).alias("_o"))
+    last = found_in(key, "_t", listed, "_name").groupBy("_t").agg(F.max_by("_name", "_o").alias(name + "_found"))
     return key.join(last, "_t", "left").drop("_t")
 
 

@@ -76,13 +76,17 @@ def test_tie_point_query_groups_images_not_pairs(spark, sf):
     assert "arrays_overlap" in plan
 
 
-def test_files_meet_lines_by_their_parts(spark):
+def test_names_meet_texts_by_their_parts(spark):
     """Names within names, empty ones, null ones, and names over the cut of a long text."""
     long = "ä" * (batch.PIECE - 2) + "r12.tif" + "b" * 900 + "tail"
     texts = spark.createDataFrame([(1, "keep r1.tif"), (2, long), (3, ""), (4, None), (5, "keep r1.tif"), (6, "r12.ti")], "id int, x string")
     names = spark.createDataFrame([("r1.tif", 1), ("r12.tif", 2), ("12.tif", 3), ("tail", 0), ("r1", -1), (None, 9), ("äär", 1), ("r1.tif", 0)], "n string, o int")
+    got = batch.named_in(texts, "x", names, "n", "o")
+    assert {r.id: r.n_found for r in got.collect()} == {1: "r1.tif", 2: "12.tif", 3: None, 4: None, 5: "r1.tif", 6: "r1"}
+    assert not rows_met(got)
     files = names.select("n")
     left = batch.unmentioned(files, "n", texts.filter("id = 6"), "x")
     assert not rows_met(left)
     assert sorted(str(r.n) for r in left.collect()) == ["12.tif", "None", "r1.tif", "r1.tif", "r12.tif", "tail", "äär"]
     assert [r.n for r in batch.unmentioned(files.filter("n = 'tail'").unionAll(spark.createDataFrame([("",)], "n string")), "n", texts.filter("x = ''"), "x").collect()] == ["tail"]
+    assert batch.named_in(texts, "x", names.filter("false"), "n", "o").filter("n_found IS NULL").count() == 6
