@@ -132,12 +132,16 @@ def halo_tiles(px: DataFrame, size: int, margin: int, overlap: int = 0) -> DataF
 def ncc_table(px: DataFrame, windows: int, reach: int) -> DataFrame:
     """(wr, wc, dx, dy, score) of the best whole shift of aligned windows, in relations only: pixels, shifts, windows, ``corr``.
 
-    px: (row, col, base, target). Shifts are (2 reach + 1)^2 rows beside each pixel.
+    px: (row, col, base, target). A pixel goes to each window that it lies at
+    most ``reach`` from, once and not for each shift; a window's pixels then
+    meet where they are, (2 reach + 1)^2 pairs for each of the window.
     """
-    moves = F.sequence(F.lit(-reach), F.lit(reach))
-    base = px.select("row", "col", "base").withColumn("dx", F.explode(moves)).withColumn("dy", F.explode(moves))
-    met = base.select("*", (F.col("row") + F.col("dy")).alias("tr"), (F.col("col") + F.col("dx")).alias("tc")).join(px.select(F.col("row").alias("tr"), F.col("col").alias("tc"), "target"), ["tr", "tc"])
-    key = [F.floor(F.col("row") / windows).cast("int").alias("wr"), F.floor(F.col("col") / windows).cast("int").alias("wc"), "dx", "dy"]
-    scored = met.groupBy(*key).agg(F.corr("base", "target").alias("score"), F.count("*").alias("n")).filter(f"n = {windows * windows}")
+    near = lambda c: F.sequence(*[F.floor((F.col(c) + d) / windows).cast("int") for d in (-reach, reach)])
+    dealt = px.withColumn("wr", F.explode(near("row"))).withColumn("wc", F.explode(near("col")))
+    held = dealt.groupBy("wr", "wc").agg(F.collect_list(F.struct("row", "col", "base", "target")).alias("px"))
+    own = (F.floor(F.col("b.row") / windows) == F.col("wr")) & (F.floor(F.col("b.col") / windows) == F.col("wc"))
+    met = held.withColumn("b", F.explode("px")).filter(own).withColumn("t", F.explode("px"))
+    met = met.select("wr", "wc", (F.col("t.col") - F.col("b.col")).alias("dx"), (F.col("t.row") - F.col("b.row")).alias("dy"), "b.base", "t.target").filter(F.col("dx").between(-reach, reach) & F.col("dy").between(-reach, reach))
+    scored = met.groupBy("wr", "wc", "dx", "dy").agg(F.corr("base", "target").alias("score"), F.count("*").alias("n")).filter(f"n = {windows * windows}")
     best = F.max_by(F.struct("dx", "dy"), F.struct(F.round("score", 9), -F.abs(F.col("dx")) - F.abs(F.col("dy")), "dx", "dy"))
     return scored.groupBy("wr", "wc").agg(best.alias("b"), F.max("score").alias("score")).select("wr", "wc", "b.dx", "b.dy", "score")

@@ -1,11 +1,13 @@
 """Jobs whose work once stood in few tasks or grew faster than the tables."""
 
+import re
 from itertools import combinations, permutations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from rasterloom.functions import grid
-from rasterloom.operators import batch, pairs
+from rasterloom.operators import batch, correlate, pairs
 from rasterloom.plans import relations
 
 
@@ -90,3 +92,19 @@ def test_names_meet_texts_by_their_parts(spark):
     assert sorted(str(r.n) for r in left.collect()) == ["12.tif", "None", "r1.tif", "r1.tif", "r12.tif", "tail", "äär"]
     assert [r.n for r in batch.unmentioned(files.filter("n = 'tail'").unionAll(spark.createDataFrame([("",)], "n string")), "n", texts.filter("x = ''"), "x").collect()] == ["tail"]
     assert batch.named_in(texts, "x", names.filter("false"), "n", "o").filter("n_found IS NULL").count() == 6
+
+
+def test_shifts_of_a_window_are_not_moved(spark):
+    """Rows are moved by window only, not by shift, and a window's best shift is that of plain sums."""
+    rng = np.random.default_rng(4)
+    base, target = rng.normal(size=(2, 17, 18))
+    px = spark.createDataFrame([(r, c, float(base[r, c]), float(target[r, c])) for r in range(17) for c in range(18)], "row int, col int, base double, target double")
+    got = correlate.ncc_table(px, 8, 2)
+    assert not re.search(r"hashpartitioning\([^)]*dx#", got._jdf.queryExecution().executedPlan().toString())
+    want = {}
+    for wr, wc in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        r, c = 8 * wr, 8 * wc
+        scores = {(dx, dy): np.corrcoef(base[r : r + 8, c : c + 8].ravel(), target[r + dy : r + dy + 8, c + dx : c + dx + 8].ravel())[0, 1] for dx in range(-2, 3) for dy in range(-2, 3) if 0 <= r + dy <= 9 and 0 <= c + dx <= 10}
+        want[wr, wc] = max((v, k) for k, v in scores.items())
+    rows = {(r.wr, r.wc): (r.score, (r.dx, r.dy)) for r in got.collect()}
+    assert set(rows) == set(want) and all(rows[k][1] == v[1] and abs(rows[k][0] - v[0]) < 1e-9 for k, v in want.items())
